@@ -40,7 +40,7 @@ def ticket_time_utc(value: Column, source: Column, field: str, zone: str = REPOR
     naive = F.when(source == LEGACY_SOURCE, parsed).otherwise(local) if field == "resolved_at" else local
     return F.struct(
         F.when(explicit, parsed).otherwise(naive).alias("ts"),
-        F.coalesce(~explicit, F.lit(False)).alias("assumed_zone"),
+        F.coalesce((F.trim(value) != "") & ~explicit, F.lit(False)).alias("assumed_zone"),
     )
 
 

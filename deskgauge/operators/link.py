@@ -62,10 +62,8 @@ def roster_segments(roster: DataFrame) -> DataFrame:
         "agent_id",
         F.inline(
             F.array(
-                F.struct(F.col("attrs.from_date").alias("day"), F.lit(1).alias("sign"), "rid", "attrs"),
-                F.struct(
-                    end.alias("day"), F.lit(-1).alias("sign"), "rid", F.lit(None).cast(rows.schema["attrs"].dataType)
-                ),
+                F.struct(F.col("attrs.from_date").alias("day"), F.lit(1).alias("sign"), "rid"),
+                F.struct(end.alias("day"), F.lit(-1).alias("sign"), "rid"),
             )
         ),
     )
