@@ -93,9 +93,9 @@ def _cell_key(cell: str) -> Column:
 
 
 def _fine_cells(rows: DataFrame, outcomes: Sequence[Outcome]) -> DataFrame:
-    """One row per assignment x mix x month with centred moments of each outcome.
+    """One row per assignment x mix x month with count, sum and sum of squares of each outcome about its centre.
 
-    Moments are re-centred on the outcome's overall mean so that later sums of squares do not cancel.
+    Within a cell the variance is accumulated stably; across cells only shifted means are squared.
     """
     keys = [*ASSIGNMENT, *_PEER_FIELDS, *_MIX.values()]
     value = {o.name: F.when(F.col(o.eligible), F.col(o.value).cast("double")) for o in outcomes}
@@ -107,20 +107,21 @@ def _fine_cells(rows: DataFrame, outcomes: Sequence[Outcome]) -> DataFrame:
     )
     columns = {}
     for o in outcomes:
-        n, mean, var = F.col(f"n_{o.name}"), F.col(f"mean_{o.name}"), F.col(f"var_{o.name}")
-        centre = fine.agg(F.try_divide(F.sum(n * mean), F.sum(n))).scalar()
-        shift = F.coalesce(mean - centre, F.lit(0.0))
+        n, var = F.col(f"n_{o.name}"), F.coalesce(f"var_{o.name}", F.lit(0.0))
+        shift = F.coalesce(F.col(f"mean_{o.name}") - F.lit(o.centre), F.lit(0.0))
         columns[f"s_{o.name}"] = n * shift
-        columns[f"q_{o.name}"] = n * (F.coalesce(var, F.lit(0.0)) + shift * shift)
-        columns[f"g_{o.name}"] = centre
+        columns[f"q_{o.name}"] = n * (var + shift * shift)
     return fine.withColumns(columns).drop(*[f"{p}_{o.name}" for o in outcomes for p in ("mean", "var")])
 
 
-def _left_out_cells(fine: DataFrame, outcomes: Sequence[Outcome]) -> DataFrame:
-    """Per pool cell and agent: count, mean, variance and number of agents of everybody else."""
-    members = fine.withColumn("pool", F.explode(pool_membership()))
-    used = fine.filter("comparison_group is not null").select(F.col("comparison_group").alias("pool")).distinct()
-    members = members.join(used, "pool", "left_semi")
+def _left_out_cells(fine: DataFrame, outcomes: Sequence[Outcome], pools: DataFrame) -> DataFrame:
+    """Per pool cell and agent: count, mean, variance and number of agents of everybody else.
+
+    Only pools that some assignment is compared with are built.
+    """
+    # the filter keeps this reader of the fine cells identical to the other one up to the shuffle, so facts are read once
+    members = fine.filter("tickets > 0").withColumn("pool", F.explode(pool_membership()))
+    members = members.join(pools, "pool", "left_semi")
     cells = members.withColumn("cell", F.explode(F.array(*[_cell_key(c) for c in _CELLS])))
     own = cells.groupBy("pool", "cell", "agent_id").agg(
         *[F.sum(f"{p}_{o.name}").alias(f"{p}_{o.name}") for o in outcomes for p in ("n", "s", "q")]
@@ -151,33 +152,34 @@ def _slice_lookups() -> Column:
         "quarter": (F.lit("quarter"), F.nullif(F.col("reporting_quarter"), F.lit(""))),
         "month": (F.lit("month"), F.nullif(F.col("reporting_month"), F.lit(""))),
     }
+    # built without lambdas so that it stays in generated code; absent periods are filtered after the explode
     entries = [
-        F.when(
-            period.isNotNull(),
-            F.struct(
-                kind.alias("period_type"),
-                period.alias("period"),
-                F.lit(level).alias("level"),
-                _cell_key(cell).alias("cell"),
-            ),
+        F.struct(
+            kind.alias("period_type"), period.alias("period"), F.lit(level).alias("level"), _cell_key(cell).alias("cell")
         )
         for name, (kind, period) in slices.items()
         for level, cell in _LOOKUPS[name]
     ]
-    return F.filter(F.array(*entries), lambda e: e.isNotNull())
+    return F.array(*entries)
 
 
 def adjusted_agent_metrics(
-    rows: DataFrame, spec: PeerSpec = PeerSpec(), outcomes: Sequence[Outcome] = OUTCOMES
+    rows: DataFrame,
+    spec: PeerSpec = PeerSpec(),
+    outcomes: Sequence[Outcome] = OUTCOMES,
+    peer_groups: DataFrame | None = None,
 ) -> DataFrame:
     """Observed minus leave-one-agent-out expected outcome per assignment and period slice.
 
     Every eligible ticket gets the mean of the first stratum with enough peer tickets from enough other agents;
-    tickets without such a stratum count against coverage.
+    tickets without such a stratum count against coverage. ``peer_groups`` tells cheaply which pools are in use;
+    without it they are read off the rows.
     """
     fine = _fine_cells(rows, outcomes)
-    loo = _left_out_cells(fine, outcomes)
-    tried = fine.withColumn("look", F.explode(_slice_lookups())).select("*", "look.*").drop("look")
+    groups = fine if peer_groups is None else peer_groups
+    pools = groups.filter("comparison_group is not null").select(F.col("comparison_group").alias("pool")).distinct()
+    loo = _left_out_cells(fine, outcomes, pools)
+    tried = fine.select("*", F.inline(_slice_lookups())).filter("period is not null")
     joined = tried.join(
         loo,
         (F.col("comparison_group") == F.col("pool"))
@@ -189,28 +191,30 @@ def adjusted_agent_metrics(
     for o in outcomes:
         cell = F.col(f"loo_{o.name}")
         good = (cell["n"] >= spec.min_cell_observations) & (cell["agents"] >= spec.min_cell_agents)
+        level = F.when(good, F.col("level"))
         picks += [
-            F.min(F.when(good, F.struct(F.col("level"), cell["n"].alias("n"), cell["mean"].alias("mean"),
-                                        cell["var"].alias("var")))).alias(f"pick_{o.name}"),
+            F.min(level).alias(f"level_{o.name}"),
+            *[F.min_by(cell[x], level).alias(f"{x}_of_{o.name}") for x in ("n", "mean", "var")],
             F.max(F.when(F.col("level") == len(STRATA), cell["n"])).alias(f"peers_{o.name}"),
             F.max(F.when(F.col("level") == len(STRATA), cell["agents"])).alias(f"agents_{o.name}"),
-            *[F.max(f"{p}_{o.name}").alias(f"{p}_{o.name}") for p in ("n", "s", "q", "g")],
-        ]
+            *[F.max(f"{p}_{o.name}").alias(f"{p}_{o.name}") for p in ("n", "s", "q")],
+        ]
     keys = [*ASSIGNMENT, *_PEER_FIELDS, *PERIOD]
     chosen = joined.groupBy(*keys, *_MIX.values()).agg(F.max("tickets").alias("tickets"), *picks)
     sums = [F.sum("tickets").alias("ticket_count")]
     for o in outcomes:
         k = o.name
-        n, s, q, pick = F.col(f"n_{k}"), F.col(f"s_{k}"), F.col(f"q_{k}"), F.col(f"pick_{k}")
-        matched = pick.isNotNull()
+        n, s, q, level = F.col(f"n_{k}"), F.col(f"s_{k}"), F.col(f"q_{k}"), F.col(f"level_{k}")
+        matched = level.isNotNull()
+        expected, variance = n * F.col(f"mean_of_{k}"), n * F.col(f"var_of_{k}") / F.col(f"n_of_{k}")
         sums += [
-            F.sum(n).alias(f"n_{k}"), F.sum(s).alias(f"s_{k}"), F.sum(q).alias(f"q_{k}"), F.max(f"g_{k}").alias(f"g_{k}"),
+            F.sum(n).alias(f"n_{k}"), F.sum(s).alias(f"s_{k}"), F.sum(q).alias(f"q_{k}"),
             F.coalesce(F.sum(F.when(matched, n)), F.lit(0)).alias(f"cov_{k}"),
             F.sum(F.when(matched, s)).alias(f"sm_{k}"), F.sum(F.when(matched, q)).alias(f"qm_{k}"),
-            F.sum(n * pick["mean"]).alias(f"exp_{k}"), F.sum(n * pick["var"] / pick["n"]).alias(f"evar_{k}"),
+            F.sum(F.when(matched, expected)).alias(f"exp_{k}"), F.sum(F.when(matched, variance)).alias(f"evar_{k}"),
             F.coalesce(F.max(f"peers_{k}"), F.lit(0)).alias(f"peers_{k}"),
             F.coalesce(F.max(f"agents_{k}"), F.lit(0)).alias(f"agents_{k}"),
-            *[F.coalesce(F.sum(F.when(pick["level"] == i + 1, n)), F.lit(0)).alias(f"l{i}_{k}") for i in range(len(STRATA))],
+            *[F.coalesce(F.sum(F.when(level == i + 1, n)), F.lit(0)).alias(f"l{i}_{k}") for i in range(len(STRATA))],
         ]
     return _estimates(chosen.groupBy(*keys).agg(*sums), keys, spec, outcomes)
 
@@ -219,7 +223,7 @@ def _estimates(sums: DataFrame, keys: Sequence[str], spec: PeerSpec, outcomes: S
     columns = [*[F.col(k) for k in keys], F.col("ticket_count")]
     for o in outcomes:
         k = o.name
-        n, s, q, g = (F.col(f"{p}_{k}") for p in ("n", "s", "q", "g"))
+        n, s, q, g = F.col(f"n_{k}"), F.col(f"s_{k}"), F.col(f"q_{k}"), F.lit(o.centre)
         cov, sm, qm, exp, evar = (F.col(f"{p}_{k}") for p in ("cov", "sm", "qm", "exp", "evar"))
 
         def sample_var(total, square, count):

@@ -222,7 +222,7 @@ def cohort_purity(peer_groups: DataFrame) -> DataFrame:
 def economics_invariants(tickets: DataFrame, scenarios: DataFrame, money: Sequence[str]) -> DataFrame:
     """Unique ticket grain, no negative exposure, no scenario above its driver."""
     lowest = F.least(*[F.coalesce(F.col(m), F.lit(0)).cast("double") for m in [*money, money[0]]])
-    above = scenarios.agg(F.count_if("scenario_opportunity > observed_exposure").alias("n")).scalar()
+    above = scenarios.agg(F.count_if(F.col("scenario_opportunity") > F.col("observed_exposure")).alias("n")).scalar()
     stats = tickets.agg(
         (F.count(F.lit(1)) - F.count_distinct("ticket_id")).alias("grain"), F.count_if(lowest < 0).alias("negative")
     )

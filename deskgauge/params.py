@@ -43,6 +43,8 @@ class Outcome:
     bounds: tuple[float, float] | None
     gap_bounds: tuple[float, float] | None
     adverse_sign: int
+    # sums of squares are taken about this value; it only has to be of the order of the data
+    centre: float = 0.0
 
     @property
     def gap(self) -> str:
@@ -50,7 +52,7 @@ class Outcome:
 
 
 OUTCOMES = (
-    Outcome("csat", "valid_for_csat", "csat_score_numeric", "raw_mean_csat", "peer_mean_csat", (1, 5), (-4, 4), -1),
+    Outcome("csat", "valid_for_csat", "csat_score_numeric", "raw_mean_csat", "peer_mean_csat", (1, 5), (-4, 4), -1, 3.0),
     Outcome(
         "handle_time",
         "valid_for_handle_time",

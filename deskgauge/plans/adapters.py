@@ -6,6 +6,8 @@ table, outcome columns ready for peer adjustment) and tickets from ``orders`` (m
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -254,12 +256,13 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.min("l_suppkey").alias("suppkey"),
             F.count(F.lit(1)).alias("lines"),
             F.max("l_shipdate").alias("shipped"),
-            F.sum(F.when(returned, F.round(c("l_extendedprice") * c("l_discount"), 2).cast("decimal(18,2)"))).alias(
-                "refund"
+            F.sum(F.when(returned, F.floor(c("l_extendedprice") * c("l_discount") * 100.0).cast("bigint"))).alias(
+                "refund_cents"
             ),
             F.max(F.when(returned, 1).otherwise(0)).alias("any_returned"),
             F.sum(c("l_quantity").cast("int")).alias("quantity"),
         )
+        .withColumn("refund", (c("refund_cents") * F.lit(Decimal("0.01"))).cast("decimal(18,2)"))
     )
 
 
@@ -348,7 +351,8 @@ def product_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORDER_TICKETS_SQL = """
 order_lines AS (
   SELECT l_orderkey, min(l_partkey) AS partkey, min(l_suppkey) AS suppkey, count(*) AS lines, max(l_shipdate) AS shipped,
-    sum(CASE WHEN l_returnflag = 'R' THEN CAST(round(l_extendedprice * l_discount, 2) AS DECIMAL(18,2)) END) AS refund,
+    CAST(sum(CASE WHEN l_returnflag = 'R' THEN CAST(floor(l_extendedprice * l_discount * 100.0) AS BIGINT) END) * 0.01
+      AS DECIMAL(18,2)) AS refund,
     max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS any_returned,
     sum(CAST(floor(l_quantity) AS INTEGER)) AS quantity
   FROM lineitem GROUP BY l_orderkey),

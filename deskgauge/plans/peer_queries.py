@@ -166,7 +166,8 @@ def grouped_items(spark, sf):
 
 
 def adjusted(spark, sf):
-    return peers.adjusted_agent_metrics(grouped_items(spark, sf))
+    groups = peers.build_peer_groups(supplier_roster(spark, sf))
+    return peers.adjusted_agent_metrics(grouped_items(spark, sf), peer_groups=groups)
 
 
 def adjusted_table(spark, sf):
