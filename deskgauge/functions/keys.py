@@ -51,7 +51,8 @@ def pool_label(tier: Column, team: Column | None = None, site: Column | None = N
 
 def compact(*options: Column) -> Column:
     """Sorted distinct array of the options that are not NULL."""
-    return F.array_sort(F.array_distinct(F.filter(F.array(*options), lambda x: x.isNotNull())))
+    # built without lambdas: options may hold scalar subqueries, which lambdas cannot
+    return F.sort_array(F.array_except(F.array(*options), F.array(F.lit(None).cast("string"))))
 
 
 def content_hash(df: DataFrame) -> Column:

@@ -6,7 +6,7 @@ import importlib
 
 from deskgauge.plans import catalog
 
-MODULES = ("metric_queries", "quality_queries", "peer_queries", "money_queries", "decision_queries")
+MODULES = ("metric_queries", "quality_queries", "peer_queries", "money_queries", "decision_queries", "text_queries", "source_queries")
 
 
 def _load() -> None:
