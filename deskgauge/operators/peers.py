@@ -114,10 +114,17 @@ def _fine_cells(rows: DataFrame, outcomes: Sequence[Outcome]) -> DataFrame:
     return fine.withColumns(columns).drop(*[f"{p}_{o.name}" for o in outcomes for p in ("mean", "var")])
 
 
-def _left_out_cells(fine: DataFrame, outcomes: Sequence[Outcome], pools: DataFrame) -> DataFrame:
+def _supported(cell: Column, spec: PeerSpec) -> Column:
+    return (cell["n"] >= spec.min_cell_observations) & (cell["agents"] >= spec.min_cell_agents)
+
+
+def _left_out_cells(
+    fine: DataFrame, outcomes: Sequence[Outcome], pools: DataFrame, spec: PeerSpec = PeerSpec()
+) -> DataFrame:
     """Per pool cell and agent: count, mean, variance and number of agents of everybody else.
 
-    Only pools that some assignment is compared with are built.
+    Only pools that some assignment is compared with are built, and only cells with support for some outcome are kept;
+    the cells without work mix stay in any case, because they also tell the size of the pool.
     """
     # the filter keeps this reader of the fine cells identical to the other one up to the shuffle, so facts are read once
     members = fine.filter("tickets > 0").withColumn("pool", F.explode(pool_membership()))
@@ -142,7 +149,11 @@ def _left_out_cells(fine: DataFrame, outcomes: Sequence[Outcome], pools: DataFra
                 agents.alias("agents"),
             ).alias(f"loo_{o.name}")
         )
-    return own.select("pool", "cell", F.col("agent_id").alias("cell_agent"), *stats)
+    left_out = own.select("pool", "cell", F.col("agent_id").alias("cell_agent"), *stats)
+    keep = F.substring("cell", 2, 1) == str(len(STRATA))
+    for o in outcomes:
+        keep = keep | _supported(F.col(f"loo_{o.name}"), spec)
+    return left_out.filter(keep)
 
 
 def _slice_lookups() -> Column:
@@ -178,7 +189,7 @@ def adjusted_agent_metrics(
     fine = _fine_cells(rows, outcomes)
     groups = fine if peer_groups is None else peer_groups
     pools = groups.filter("comparison_group is not null").select(F.col("comparison_group").alias("pool")).distinct()
-    loo = _left_out_cells(fine, outcomes, pools)
+    loo = _left_out_cells(fine, outcomes, pools, spec)
     tried = fine.select("*", F.inline(_slice_lookups())).filter("period is not null")
     joined = tried.join(
         loo,
@@ -187,11 +198,12 @@ def adjusted_agent_metrics(
         & tried["agent_id"].eqNullSafe(F.col("cell_agent")),
         "left",
     )
+    # a lookup that found nothing says nothing; the last level stays so that every ticket keeps a row in every slice
+    joined = joined.filter((F.col("level") == len(STRATA)) | F.col("pool").isNotNull())
     picks = []
     for o in outcomes:
         cell = F.col(f"loo_{o.name}")
-        good = (cell["n"] >= spec.min_cell_observations) & (cell["agents"] >= spec.min_cell_agents)
-        level = F.when(good, F.col("level"))
+        level = F.when(_supported(cell, spec), F.col("level"))
         picks += [
             F.min(level).alias(f"level_{o.name}"),
             *[F.min_by(cell[x], level).alias(f"{x}_of_{o.name}") for x in ("n", "mean", "var")],

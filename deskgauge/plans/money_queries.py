@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from deskgauge.operators import clean, economics, link, metrics, peers, products, validate
@@ -679,18 +680,20 @@ def _top(spark, sf):
     "jn12_keep_known_references",
     with_sql(
         EVENT_TICKETS_SQL,
-        """, cited AS (SELECT agent_id, ticket_id FROM event_tickets),
+        """, cited AS (SELECT agent_id, ticket_id FROM event_tickets
+             QUALIFY row_number() OVER (PARTITION BY agent_id ORDER BY transfers DESC, ticket_id) <= 5),
            known AS (SELECT ticket_id FROM event_tickets WHERE category <> 'error' AND customer_message <> '')
-           SELECT agent_id, string_agg(ticket_id, '|' ORDER BY ticket_id) FILTER (WHERE ticket_id IN (SELECT * FROM known))
-               AS representative_ticket_ids,
+           SELECT agent_id, coalesce(string_agg(ticket_id, '|' ORDER BY ticket_id)
+               FILTER (WHERE ticket_id IN (SELECT * FROM known)), '') AS representative_ticket_ids,
              count(*) FILTER (WHERE ticket_id NOT IN (SELECT * FROM known)) AS removed_reference_count
            FROM cited GROUP BY agent_id""",
     ),
 )
 def _references(spark, sf):
     t = event_tickets(spark, sf)
-    # the number of cited tickets per agent is a few hundred at most here: agents take turns over all tickets
-    rows = t.groupBy("agent_id").agg(F.array_sort(F.collect_list("ticket_id")).alias("representative_ticket_ids"))
+    place = F.row_number().over(Window.partitionBy("agent_id").orderBy(F.col("transfers").desc(), "ticket_id"))
+    cited = t.withColumn("place", place).filter("place <= 5")
+    rows = cited.groupBy("agent_id").agg(F.array_sort(F.collect_list("ticket_id")).alias("representative_ticket_ids"))
     analysed, canonical = t.filter("category <> 'error'"), t.filter("customer_message <> ''")
     return link.keep_known_references(rows, "representative_ticket_ids", analysed, canonical, "agent_id")
 
