@@ -256,7 +256,15 @@ def summarize(df: DataFrame, keys: Sequence[str] = (), slices: Sequence[str] = (
         partial = explode_periods(partial, slices).groupBy(*group).agg(*[F.sum(n).alias(n) for n in measures])
         counts = explode_periods(counts, slices).groupBy(*group, "measure", "value").agg(F.sum("cnt").alias("cnt"))
     quantiles = percentiles_of_counts(counts, group, PERCENTILES)
-    return _finish(join_null_safe(partial, quantiles, group)).drop("__all")
+    return _finish(_beside(partial, quantiles, group))
+
+
+def _beside(rows: DataFrame, extra: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Attach per-key columns; a keyless result is one row, so its columns come as scalar subqueries."""
+    if list(group) != ["__all"]:
+        return join_null_safe(rows, extra, group)
+    added = {c: extra.select(c).scalar() for c in extra.columns if c != "__all"}
+    return rows.withColumns(added).drop("__all")
 
 
 # --- summaries of one family, for callers that need only part of the wide row -------------------------------------
@@ -303,7 +311,7 @@ def duration_summary(df: DataFrame, keys: Sequence[str], value: str, eligible: s
     )
     names = {f"{prefix}_median": 0.5, f"{prefix}_p75": 0.75, f"{prefix}_p90": 0.9}
     spread = percentiles_of_counts(long_counts(df, group, {"v": "__v"}), group, {"v": names})
-    return join_null_safe(base, spread, group).drop("__all")
+    return _beside(base, spread, group)
 
 
 def handle_time_by_source(df: DataFrame) -> DataFrame:

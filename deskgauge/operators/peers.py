@@ -190,16 +190,20 @@ def adjusted_agent_metrics(
     groups = fine if peer_groups is None else peer_groups
     pools = groups.filter("comparison_group is not null").select(F.col("comparison_group").alias("pool")).distinct()
     loo = _left_out_cells(fine, outcomes, pools, spec)
-    tried = fine.select("*", F.inline(_slice_lookups())).filter("period is not null")
-    joined = tried.join(
-        loo,
-        (F.col("comparison_group") == F.col("pool"))
-        & (tried["cell"] == loo["cell"])
-        & tried["agent_id"].eqNullSafe(F.col("cell_agent")),
-        "left",
-    )
+    # Cells of one agent are few and every later key holds the agent, so one shuffle by agent, made before the lookups
+    # multiply the cells, serves the lookup and both aggregations. The lookup is a window over the union of both sides:
+    # a join would insist on a shuffle by all of its keys.
+    stats = [f"loo_{o.name}" for o in outcomes]
+    tried = fine.repartition("agent_id").select(
+        "*", F.col("comparison_group").alias("pool"), F.inline(_slice_lookups())
+    ).filter("period is not null")
+    found = loo.select(F.col("cell_agent").alias("agent_id"), "pool", "cell", *stats).repartition("agent_id")
+    both = tried.unionByName(found, allowMissingColumns=True)
+    same = Window.partitionBy("agent_id", "pool", "cell")
+    joined = both.withColumns({c: F.max(c).over(same) for c in stats}).filter("level is not null")
     # a lookup that found nothing says nothing; the last level stays so that every ticket keeps a row in every slice
-    joined = joined.filter((F.col("level") == len(STRATA)) | F.col("pool").isNotNull())
+    some = F.coalesce(*[F.col(c)["n"] for c in stats]).isNotNull()
+    joined = joined.filter((F.col("level") == len(STRATA)) | some)
     picks = []
     for o in outcomes:
         cell = F.col(f"loo_{o.name}")
