@@ -14,12 +14,13 @@ import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import functions as F
 
 #: Entries that a worker keeps for words and for token pairs; on overflow it starts anew.
-CACHE = 100_000
+CACHE = 200_000
 END = 0x1000  # added to the last character of a word: it is another symbol there
 
 
@@ -40,27 +41,25 @@ class WordBpe:
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.pieces = regex.compile(split.replace(r"\s", r"\p{White_Space}")).findall
-        self.byte_symbol = self._byte_symbols()
+        self.byte_symbol = dict(enumerate(self._byte_symbols()))
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.merge: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merge: dict[tuple[int, int], int] = {}  # ranks
         self.parts: dict[int, tuple[int, int, int]] = {}  # token: rank, left, right
+        self.known_stable: dict[int, bool] = {}
+        self.spines: tuple[dict, dict] = ({}, {})  # one entry per token
         for rank, (a, b) in enumerate(pairs):
             token = vocab[a + b]
-            self.merge[vocab[a], vocab[b]] = (rank, token)
+            self.merge[vocab[a], vocab[b]] = rank
             self.parts.setdefault(token, (rank, vocab[a], vocab[b]))
-        self.symbols: dict[str, int] = {}
         self.match = ahocorasick.Automaton()
         for name, token in vocab.items():
-            if name in special:
+            if name in special or not self._stable(token):
                 continue
             body = name[: -len(suffix) - 1] + chr(ord(name[-len(suffix) - 1]) + END) if name.endswith(suffix) and len(name) > len(suffix) else name
-            if len(body) == 1:
-                self.symbols[body] = token
-            self.match.add_word(body, (token, len(body), body))
+            self.match.add_word(body, (token, len(body)))
         self.match.make_automaton()
         self.words: dict[str, tuple[int, ...]] = {}
-        self.fits = functools.lru_cache(CACHE)(self._fits)
-        self.stable = functools.lru_cache(None)(self._stable)  # at most one entry per token
+        self.pairs: dict[int, bool] = {}
 
     @staticmethod
     def _byte_symbols() -> list[str]:
@@ -71,56 +70,69 @@ class WordBpe:
 
     def _spine(self, token: int, side: int) -> list[tuple[int, float]]:
         """The tokens that border this side while ``token`` is built, each with the rank of the merge that ends it."""
-        out, until = [], float("inf")
-        while True:
-            out.append((token, until))
-            if token not in self.parts:
-                return out
-            until, token = self.parts[token][0], self.parts[token][side]
-
-    def _fits(self, left: int, right: int) -> bool:
-        """Whether no merge across the border comes before the merges that build the two tokens.
+        known = self.spines[side - 1]
+        if token not in known:
+            out, at, until = [], token, float("inf")
+            while True:
+                out.append((at, until))
+                if at not in self.parts:
+                    break
+                until, at = self.parts[at][0], self.parts[at][side]
+            known[token] = out
+        return known[token]
+
+    def _fits(self, left: int, right: int, but: int = -1) -> bool:
+        """Whether no merge across the border (``but`` one of this rank) comes before the merges that build the two tokens.
 
         Of equal ranks the leftmost is merged first: a merge inside ``left`` goes before one across, that before one inside
         ``right``.
         """
-        rights = self._spine(right, 1)
+        rights, merge = self._spine(right, 1), self.merge
         for a, a_until in self._spine(left, 2):
             for b, b_until in rights:
-                if (m := self.merge.get((a, b))) and m[0] < a_until and m[0] <= b_until:
+                rank = merge.get((a, b))
+                if rank is not None and rank != but and rank < a_until and rank <= b_until:
                     return False
         return True
 
-    def _stable(self, token: int, body: str) -> bool:
+    def _stable(self, token: int) -> bool:
         """Whether merging the symbols of a token gives that token (then it can be in an encoding)."""
-        ids = [self.symbols[c] for c in body]
-        while len(ids) > 1:
-            found = [(self.merge[p][0], i) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in self.merge]
-            if not found:
-                break
-            _, i = min(found)
-            ids[i : i + 2] = [self.merge[ids[i], ids[i + 1]][1]]
-        return ids == [token]
+        if token not in self.parts:
+            return True
+        if token not in self.known_stable:
+            rank, left, right = self.parts[token]
+            self.known_stable[token] = self._stable(left) and self._stable(right) and self._fits(left, right, rank)
+        return self.known_stable[token]
 
     def word(self, piece: str) -> tuple[int, ...]:
         """Ids of one piece of text between splits."""
-        text = "".join(map(self.byte_symbol.__getitem__, piece.encode()))
+        text = piece.encode().decode("latin-1").translate(self.byte_symbol)
         text = text[:-1] + chr(ord(text[-1]) + END)
-        last: list[tuple[int, int]] = [(-1, 0)] * len(text)
-        for end, (token, size, body) in self.match.iter(text):
-            if last[end][1]:
+        tokens, sizes, pairs = [-1] * len(text), [0] * len(text), self.pairs
+        for end, (token, size) in self.match.iter(text):
+            if sizes[end]:
                 continue  # the one that fits is found
-            before = last[end - size] if end >= size else None
-            if (before is None or before[1] and self.fits(before[0], token)) and (size == 1 or self.stable(token, body)):
-                last[end] = (token, size)
+            if size <= end:
+                before = tokens[end - size]
+                if before < 0:
+                    continue
+                pair = before << 20 | token
+                fits = pairs.get(pair)
+                if fits is None:
+                    if len(pairs) >= CACHE:
+                        pairs.clear()
+                    fits = pairs[pair] = self._fits(before, token)
+                if not fits:
+                    continue
+            tokens[end], sizes[end] = token, size
         at, ids = len(text) - 1, []
         while at >= 0:
-            token, size = last[at]
-            if not size:
+            if not sizes[at]:
                 raise ValueError(f"no encoding for {piece!r}")
-            ids.append(token)
-            at -= size
-        return tuple(reversed(ids))
+            ids.append(tokens[at])
+            at -= sizes[at]
+        ids.reverse()
+        return tuple(ids)
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -160,7 +172,9 @@ def encode_column(text, path: str):
     def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokenizer = load(path)
         for batch in texts:
-            yield pa.array([tokenizer.encode(x.as_py() or "") for x in batch], pa.list_(pa.int32()))
+            ids = [np.array(tokenizer.encode(x.as_py() or ""), np.int32) for x in batch]  # 4 bytes a token are kept
+            ends = np.cumsum([0, *map(len, ids)])
+            yield pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
 
     return encode(text)
 
@@ -172,6 +186,6 @@ def decode_column(ids, path: str):
     def decode(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokenizer = load(path)
         for batch in arrays:
-            yield pa.array([None if x is None else tokenizer.decode(x) for x in batch.to_pylist()], pa.string())
+            yield pa.array((None if not x.is_valid else tokenizer.decode(x.values.to_numpy().tolist()) for x in batch), pa.string())
 
     return decode(ids)
