@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskgauge.llm import bpe, simhash
+from deskgauge.llm import ann, bpe, mixing, quality, rules, secrets, simhash, urls, warc
+from deskgauge.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +52,80 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+_RULES_BASE = """
+WITH t AS (SELECT row_number() OVER () AS n, doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT n, list_filter(string_split_regex(text, '[ \\t-\\r]+'), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \\t-\\r]')) AS l FROM t),
+grams AS (SELECT n, i, concat_ws(' ', w[i], w[i + 1], w[i + 2]) AS g FROM (SELECT n, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+twice AS (SELECT n, i FROM (SELECT n, i, count(*) OVER (PARTITION BY n, g) AS c FROM grams) WHERE c > 1),
+covered AS (SELECT n, count(DISTINCT i + d) AS n_repeat_words FROM twice, (VALUES (0), (1), (2)) v(d) GROUP BY n),
+base AS (
+  SELECT n, doc_id, source, text, len(w) AS n_words, list_sum(list_transform(w, lambda x: length(x))) AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM t JOIN w USING (n) LEFT JOIN covered USING (n)
+)"""
+
+
+@_query("op2_url_verdicts", urls.ORACLE)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(pages, urls.listed_urls(pages)).select("page_id", "host", "path", "rule", "verdict")
+
+
+@_query(
+    "op4_quality_rules",
+    _RULES_BASE
+    + f"""
+, line AS (
+  SELECT source, md5(text) AS h, lower(trim(regexp_replace(x, '[ \\t-\\r]+', ' ', 'g'))) AS x, len(list_filter(string_split_regex(x, '[ \\t-\\r]+'), lambda y: y <> '')) AS k
+  FROM (SELECT source, text, unnest(l) AS x FROM t JOIN w USING (n))
+), many AS (SELECT source, x, count(DISTINCT h) AS c FROM line GROUP BY ALL
+), hosts AS (SELECT source, count(DISTINCT md5(text)) AS c FROM t GROUP BY ALL
+), bad AS (SELECT many.source, x FROM many JOIN hosts ON many.source IS NOT DISTINCT FROM hosts.source WHERE many.c > greatest({rules.MIN_DOCS}, {rules.MIN_SHARE} * hosts.c)
+), copies AS (SELECT source, md5(text) AS h, count(*) AS c FROM t GROUP BY ALL
+), gone AS (
+  SELECT line.source, line.h, sum(k) // any_value(copies.c) AS n_removed_words
+  FROM line JOIN bad ON line.source IS NOT DISTINCT FROM bad.source AND line.x = bad.x
+  JOIN copies ON line.source IS NOT DISTINCT FROM copies.source AND line.h = copies.h GROUP BY ALL
+), judged AS (
+  SELECT doc_id, n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, n_symbols, n_dup_lines, n_repeat_words,
+         n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.MAX_REPEAT_PERCENT} * n_words AS base_failed, coalesce(n_removed_words, 0)::BIGINT AS n_removed_words
+  FROM base LEFT JOIN gone ON base.source IS NOT DISTINCT FROM gone.source AND md5(base.text) = gone.h
+)
+SELECT *, NOT base_failed AND n_words - n_removed_words >= {rules.MIN_LEFT} * n_words AS kept FROM judged
+""",
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept")
+
+
+@_query("op5_secret_spans")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    counts = [secrets.count_of("base", i).alias(f"n_{kind}") for i, kind in enumerate(secrets.BASE)]
+    return found.select("doc_id", *counts, F.sha2(secrets.span_list("base"), 256).alias("base_sha256"), secrets.span_list("spans").alias("spans"))
+
+
+@_query("op6_warc_round_trip")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = stored(warc.write_archives(table(spark, sf_dir, "pages")), "archives")
+    records = warc.read_archives(archives, payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
+@_query("op7_source_mix")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = mixing.selected(table(spark, sf_dir, "documents"))
+    return chosen.select("doc_id", "domain", "lang", "source", "rows", "tokens", "copies")
+
+
+@_query("op9_quality_scores")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query("op10_nearest_vectors")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
