@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskgauge.llm import ann, bpe, mixing, quality, rules, secrets, simhash, urls, warc
+from deskgauge.llm import ann, bpe, mixing, quality, repeats, rules, secrets, simhash, urls, warc
 from deskgauge.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +74,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, urls.listed_urls(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
+@_query("op3_repeated_strings")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(table(spark, sf_dir, "documents"))
+
+
 @_query(
     "op4_quality_rules",
     _RULES_BASE
