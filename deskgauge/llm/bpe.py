@@ -9,6 +9,7 @@ runs over the word, so a word of any length takes linear time.
 from __future__ import annotations
 
 import functools
+import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -17,6 +18,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries that a worker keeps for words and for token pairs; on overflow it starts anew.
@@ -38,6 +40,7 @@ class WordBpe:
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = special
         self.names = {i: t for t, i in [*vocab.items(), *special.items()]}
+        self.decimals = {i: str(i) for i in self.names}
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.pieces = regex.compile(split.replace(r"\s", r"\p{White_Space}")).findall
@@ -156,7 +159,7 @@ class WordBpe:
 
     def decode(self, ids: list[int]) -> str:
         """The file names no decoder: token strings joined by blanks. Unknown ids are left out."""
-        return " ".join([self.names[i] for i in ids if i in self.names])
+        return " ".join([x for x in map(self.names.get, ids) if x is not None])
 
 
 @functools.lru_cache(4)
@@ -165,6 +168,28 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+def round_trip(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row per document: doc_id, n_tokens, ids_sha256 (ids in decimal, joined by blanks), decoded_sha256.
+
+    Ids are encoded, decoded and hashed in one pass, document by document, so a task holds the ids of one text at a time. Null
+    texts count as empty; repeated rows get equal rows; other columns are not read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = load(path)
+        for batch in batches:
+            sizes, encoded, decoded = [], [], []
+            for x in batch.column(1):
+                ids = tokenizer.encode(x.as_py() or "")
+                sizes.append(len(ids))
+                encoded.append(hashlib.sha256(" ".join(map(tokenizer.decimals.__getitem__, ids)).encode()).hexdigest())
+                decoded.append(hashlib.sha256(tokenizer.decode(ids).encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def encode_column(text, path: str):
     """array<int> of token ids; null counts as empty. ``path`` must be readable on every executor."""
 

@@ -33,14 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def encoded(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the decoded text."""
-    path = public_tokenizers.path(TOKENIZER)
-    ids = docs.select("doc_id", bpe.encode_column(F.col("text"), path).alias("ids"))
-    return ids.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(bpe.decode_column(F.col("ids"), path), 256).alias("decoded_sha256"),
-    )
+    return bpe.round_trip(docs, public_tokenizers.path(TOKENIZER))
 
 
 @_query("op1_bpe_round_trip")
