@@ -22,22 +22,22 @@ from deskgauge.llm.common import stored
 @dataclass(frozen=True)
 class Settings:
     """``sample`` vectors fit at most ``centroids`` lists of about ``list_size`` vectors. A vector is stored in up to
-    ``replicas`` lists within ``closure`` times its nearest distance; a query reads up to ``probes`` lists within ``ratio``
-    times its nearest distance, and as many as hold ``least`` vectors. ``chunk`` and ``query_chunk`` bound what one task
-    compares at a time; longer lists are split."""
+    ``replicas`` lists within ``closure`` times its nearest distance. A query reads the lists within a ratio of its nearest
+    distance that holds ``recall`` of the true neighbours of ``trials`` sampled vectors, and as many as hold ``least`` vectors.
+    ``chunk`` and ``query_chunk`` bound what one task compares at a time; longer lists are split."""
 
     sample: int = 20_000
     centroids: int = 2_500
     list_size: int = 64
     replicas: int = 4
-    closure: float = 1.15
-    probes: int = 64
-    ratio: float = 1.6
+    closure: float = 1.2
+    recall: float = 0.96
+    trials: int = 100
     least: int = 400
     chunk: int = 8_192
     query_chunk: int = 256
     links: int = 16
-    beam: int = 64
+    beam: int = 32
     seed: int = 11
 
 
@@ -93,13 +93,14 @@ class CentroidGraph:
             order = np.argsort(dist, axis=1, kind="stable")[:, :beam]
             ids, dist, done = ids[rows, order], dist[rows, order], done[rows, order]
             open_ = np.where(done | (ids < 0), np.inf, dist)
-            pick = open_.argmin(1)
-            going = np.isfinite(open_[rows[:, 0], pick])
+            pick = np.argsort(open_, axis=1, kind="stable")[:, : max(1, beam // 16)]
+            going = np.isfinite(open_[rows, pick])
             if not going.any():
                 return ids, dist
-            done[rows[:, 0], pick] = True
-            new = self.links[np.maximum(ids[rows[:, 0], pick], 0)]
-            fresh = ~seen[rows, new] & going[:, None]
+            done[rows, pick] = True
+            new = self.links[np.maximum(ids[rows, pick], 0)]
+            fresh = (~seen[rows[:, :, None], new] & going[:, :, None]).reshape(n, -1)
+            new = new.reshape(n, -1)
             # of a link listed twice only the first counts
             s = np.sort(np.where(fresh, new, -1), axis=1)
             new = np.where(np.concatenate([np.ones((n, 1), bool), s[:, 1:] != s[:, :-1]], axis=1), s, -1)
@@ -140,22 +141,23 @@ def fit_centroids(vectors: DataFrame, settings: Settings) -> CentroidGraph | Non
     return CentroidGraph(_balanced_centres(distinct, k, settings.seed), settings.links, settings.seed)
 
 
+def _homes(graph: CentroidGraph, x: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """The lists of each vector and which of them count: the nearest, and near a boundary those almost as near."""
+    ids, dist = graph.nearest(x, settings.beam)
+    ids, dist = ids[:, : settings.replicas], dist[:, : settings.replicas]
+    chosen = (ids >= 0) & (dist <= settings.closure * dist[:, :1])
+    chosen[:, 0] = True
+    return ids, chosen
+
+
 def _lists(vectors: DataFrame, graph: CentroidGraph, settings: Settings) -> DataFrame:
-    """(list, vec_id, vector): the nearest list and those of boundary vectors, unless a chosen centroid is nearer to theirs."""
+    """(list, vec_id, vector): every vector in its lists."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                ids, dist = graph.nearest(_matrix(part.column(1)), min(settings.beam, 32))
-                chosen = np.zeros(ids.shape, bool)
-                chosen[:, 0] = True
-                for j in range(1, ids.shape[1]):
-                    ok = (ids[:, j] >= 0) & (dist[:, j] <= settings.closure * dist[:, 0]) & (chosen.sum(1) < settings.replicas)
-                    if not ok.any():
-                        break
-                    gap = np.sqrt(((graph.centres[ids[:, :j]] - graph.centres[ids[:, j]][:, None]) ** 2).sum(2))
-                    chosen[:, j] = ok & ~((gap < dist[:, j, None]) & chosen[:, :j]).any(1)
+                ids, chosen = _homes(graph, _matrix(part.column(1)), settings)
                 rows, places = np.nonzero(chosen)
                 taken = part.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[rows, places].astype(np.int32)), taken.column(0), taken.column(1)], names=["list", "vec_id", "vector"])
@@ -163,18 +165,52 @@ def _lists(vectors: DataFrame, graph: CentroidGraph, settings: Settings) -> Data
     return vectors.mapInArrow(assign, "list int, vec_id long, vector array<float>")
 
 
-def _probes(queries: DataFrame, graph: CentroidGraph, sizes: np.ndarray, settings: Settings) -> DataFrame:
+def fit_ratio(vectors: DataFrame, graph: CentroidGraph, settings: Settings, top: int) -> tuple[float, int]:
+    """The distance ratio that lists must be within to hold ``recall`` of true neighbours, and how many lists that can be.
+
+    The true neighbours of ``trials`` vectors are found by one pass over all vectors; each task returns ``top`` for each.
+    """
+    trial = vectors.orderBy(F.xxhash64(F.lit("trial"), "vec_id"), "vec_id").limit(settings.trials).toArrow()
+    names, x = trial["vec_id"].to_numpy(), _matrix(trial["vector"])
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, y = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            for t, v in zip(names, x, strict=True):
+                d = np.where(own == t, np.inf, ((y - v) ** 2).sum(axis=1))
+                best = np.argsort(d, kind="stable")[:top]
+                best = best[np.isfinite(d[best])]
+                kept = batch.take(pa.array(best))
+                yield pa.RecordBatch.from_arrays([pa.array([int(t)] * len(best), pa.int64()), pa.array(d[best]), kept.column(1)], names=["trial", "d", "vector"])
+
+    found = vectors.mapInArrow(exact, "trial long, d double, vector array<float>")
+    best = found.withColumn("n", F.row_number().over(Window.partitionBy("trial").orderBy("d"))).where(F.col("n") <= top).select("trial", "vector").toArrow()
+    ids, dist = graph.nearest(x, len(graph.centres))
+    if not best.num_rows:
+        return 1.0, 1
+    homes, chosen = _homes(graph, _matrix(best["vector"]), settings)
+    at = {t: i for i, t in enumerate(names)}
+    needed = []
+    for t, lists, some in zip(best["trial"].to_numpy(), homes, chosen, strict=True):
+        row = at[t]
+        ratios = dist[row][np.isin(ids[row], lists[some])] / max(dist[row][0], 1e-300)
+        needed.append(ratios.min() if len(ratios) else np.inf)
+    ratio = float(np.quantile(needed, settings.recall, method="higher"))
+    within = int((dist <= ratio * dist[:, :1]).sum(axis=1).max())
+    return ratio, min(len(graph.centres), within + within // 4 + 1)
+
+
+def _probes(queries: DataFrame, graph: CentroidGraph, sizes: np.ndarray, ratio: float, most: int, settings: Settings) -> DataFrame:
     """(list, query_id, vector): lists within the ratio of the nearest, at least as many as hold ``least`` vectors."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids, dist = graph.nearest(_matrix(part.column(1)), max(settings.beam, settings.probes))
-                ids, dist = ids[:, : settings.probes], dist[:, : settings.probes]
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids, dist = graph.nearest(_matrix(part.column(1)), max(settings.beam, most))
                 held = np.where(ids >= 0, sizes[np.maximum(ids, 0)], 0)
                 before = np.cumsum(held, axis=1) - held
-                rows, places = np.nonzero((ids >= 0) & ((dist <= settings.ratio * dist[:, :1]) | (before < settings.least)))
+                rows, places = np.nonzero((ids >= 0) & ((dist <= ratio * dist[:, :1]) | (before < settings.least)))
                 taken = part.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[rows, places].astype(np.int32)), taken.column(0), taken.column(1)], names=["list", "query_id", "vector"])
 
@@ -217,7 +253,8 @@ def search(table: DataFrame, wanted: Column, top: int = 10, settings: Settings =
     sizes = np.zeros(len(graph.centres), np.int64)
     for row in lists.groupBy("list").count().collect():  # one row per centroid, a fixed bound
         sizes[row.list] = row["count"]
-    probes = stored(_probes(vectors.where(wanted), graph, sizes, settings), "probes")
+    ratio, most = fit_ratio(vectors, graph, settings, top)
+    probes = stored(_probes(vectors.where(wanted), graph, sizes, ratio, most, settings), "probes")
     asked = np.zeros(len(sizes), np.int64)
     for row in probes.groupBy("list").count().collect():
         asked[row.list] = row["count"]
