@@ -77,7 +77,8 @@ def text_counts(docs: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
         F.coalesce(F.aggregate(F.transform("p", lambda x, i: F.least(F.lit(3), F.coalesce(F.get("p", i + 1) - x, F.lit(3)))), F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long")).alias("n_repeat_words"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return step.select(*names, "n_repeat_words", failed.alias("base_failed"))
+    # one struct per row, unpacked again: filters on the counts stay above it instead of repeating all steps inside themselves
+    return step.select(F.inline(F.array(F.struct(*names, "n_repeat_words", failed.alias("base_failed")))))
 
 
 def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
@@ -114,10 +115,11 @@ def judged(docs: DataFrame, text: str = "text", host: str = "source", doc_id: st
 def apply_rules(docs: DataFrame, text: str = "text", host: str = "source", min_left: float = MIN_LEFT, length: str | None = "n_chars", **limits) -> DataFrame:
     """The documents that ``judged`` keeps, all columns, without their lines above the limit; ``length`` follows the text."""
     key, gone = free_name(docs, "key"), free_name(docs, "gone")
-    base = text_counts(docs, F.col(text), [F.struct(*[F.col(f"`{c}`") for c in docs.columns]), _document_key(F.col(host), text_or_empty(text))]).where("not base_failed")
-    found = frequent_lines(docs, text, host, **limits).groupBy("key").agg(F.sum("words").alias("cut"), F.collect_set("line").alias("lines"))
-    kept = base.join(found.withColumnRenamed("key", "k1"), "k1", "left").where(F.col("cut").isNull() | (F.col("n_words") - F.col("cut") >= min_left * F.col("n_words")))
-    out = kept.select("k0.*", F.col("k1").alias(key), F.col("lines").alias(gone))
+    own = _document_key(F.col(host), text_or_empty(text))
+    base = text_counts(docs, F.col(text), [own]).where("not base_failed").groupBy("k0").agg(F.first("n_words").alias("n_words"))
+    found = frequent_lines(docs, text, host, **limits).groupBy("key").agg(F.sum("words").alias("cut"), F.collect_set("line").alias(gone)).withColumnRenamed("key", "k1")
+    kept = base.join(found, F.col("k0") == F.col("k1"), "left").where(F.col("cut").isNull() | (F.col("n_words") - F.col("cut") >= min_left * F.col("n_words"))).select(F.col("k0").alias(f"{key}_0"), gone)
+    out = docs.withColumn(key, own).join(kept, F.col(key) == F.col(f"{key}_0"))
     stay = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~x.rlike(r"[^\x20\x09-\x0D]") | ~F.array_contains(gone, _line_hash(F.col(host), x))), "\n")
     out = out.withColumn(text, F.when(F.col(gone).isNull(), F.col(text)).otherwise(stay))
     if length in docs.columns:
