@@ -93,14 +93,16 @@ class Model:
     buckets: int
 
 
-def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float, buckets: int, rounds: int = 600, rate: float = 0.02, decay: float = 1e-3) -> Model:
+def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float, buckets: int, rounds: int = 600, rate: float = 0.02, shrink: float = 20.0) -> Model:
     """Adam on the non-negative risk with the logistic loss: prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)).
 
     Where the second term is negative, a step goes up its gradient instead, so that the model can't fit it below zero.
+    ``shrink``, divided by the number of positives, is the weight decay: few positives can't be learned by heart.
     """
+    decay = shrink / len(positives)
     both = np.concatenate([positives, unlabelled])
     mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
-    p, u = (positives - mean) / scale, (unlabelled - mean) / scale
+    p, u = ((x.astype(np.float64) - mean) / scale for x in (positives, unlabelled))
     w, b = np.zeros(p.shape[1]), 0.0
     m, v = np.zeros(p.shape[1] + 1), np.zeros(p.shape[1] + 1)
     for t in range(1, rounds + 1):

@@ -38,7 +38,7 @@ PARTS = (
     Part("assign", "secret", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
     Part("access", "identifier", r"AKIA[A-Z0-9]{12,}", holds="AKIA"),
     Part("hex", "secret", r"[0-9a-f]{32,}", hint=r"[0-9a-f]{32}"),
-    Part("user", "identifier", r"""(?i:\b(user(?:name)?|login|client_?id|account_?id|access_?key_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]+)""", 2, 3, weak=True),
+    Part("user", "identifier", r"""(?i:\b(user(?:_?name)?|login|client_?id|account_?id|access_?key_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]+)""", 2, 3, weak=True),
     Part("key", "secret", r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])", 0, 40, ("[0-9]", "[a-z]", "[A-Z]"), hint=r"[A-Za-z0-9+/]{40}", weak=True),
     Part("endpoint", "endpoint", r"(?i:(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://)[A-Za-z0-9._~:@/-]+", holds="://", weak=True),
 )
