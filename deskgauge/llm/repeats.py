@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from deskgauge.llm.common import stored, text_key, text_or_empty
 from deskgauge.llm.suffixes import permuted_prefixes, suffix_array
 
-LENGTH, GRAM = 200, 32
+LENGTH, GRAM = 200, 64
 #: Bytes of texts that are cut at a time, of pieces that make one suffix array, and of one group that are still sorted in
 #: one array; the windows of a larger group are compared by 128-bit hashes across tasks instead.
 CUT_BYTES, ARRAY_BYTES, GROUP_BYTES = 1 << 20, 2 << 20, 16 << 20
