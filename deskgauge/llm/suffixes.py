@@ -93,65 +93,53 @@ def _names(t: np.ndarray, order: np.ndarray, lms: np.ndarray) -> tuple[np.ndarra
     return names, int(number[-1]) + 1
 
 
-def _sort_names(s: list[int], k: int) -> list[int]:
-    """Induced sorting of a string of numbers below ``k`` that ends with its only 0, entry by entry."""
-    n = len(s)
+def _sort_names(t: np.ndarray, k: int) -> np.ndarray:
+    """Induced sorting of a string of numbers below ``k`` that ends with its only 0; its scans go entry by entry."""
+    n = len(t)
     if n == 1:
-        return [0]
-    small = bytearray(n)
-    small[-1] = 1
-    lms = []
-    for i in range(n - 2, -1, -1):
-        if s[i] < s[i + 1] or s[i] == s[i + 1] and small[i + 1]:
-            small[i] = 1
-        elif small[i + 1]:
-            lms.append(i + 1)
-    lms.reverse()
-    sizes = np.bincount(np.array(s), minlength=k)
+        return np.zeros(1, np.int64)
+    types = _types(t)
+    lms = np.flatnonzero(types[1:] & ~types[:-1]) + 1
+    sizes = np.bincount(t, minlength=k)
     ends = np.cumsum(sizes)
     begin, end = (ends - sizes).tolist(), ends.tolist()
+    s, small = t.tolist(), types.tobytes()
 
-    def induce(order: list[int]) -> list[int]:
-        sa = [-1] * n
+    def induce(order: list[int]) -> np.ndarray:
+        sa = [0] * n  # 0 has nothing before it, so it also stands for a free place
         tail = end.copy()
         for i in reversed(order):
-            tail[s[i]] -= 1
-            sa[tail[s[i]]] = i
+            c = s[i]
+            at = tail[c] - 1
+            tail[c] = at
+            sa[at] = i
         head = begin.copy()
-        for x in sa_view(sa):
-            if x > 0 and not small[x - 1]:
+        for x in sa:  # the iterator sees what the scan writes ahead of it
+            if x and not small[x - 1]:
                 c = s[x - 1]
-                sa[head[c]] = x - 1
-                head[c] += 1
+                at = head[c]
+                sa[at] = x - 1
+                head[c] = at + 1
         tail = end.copy()
-        for at in range(n - 1, -1, -1):
-            x = sa[at]
-            if x > 0 and small[x - 1]:
+        for x in reversed(sa):
+            if x and small[x - 1]:
                 c = s[x - 1]
-                tail[c] -= 1
-                sa[tail[c]] = x - 1
+                at = tail[c] - 1
+                tail[c] = at
+                sa[at] = x - 1
         sa[0] = n - 1
-        return sa
+        return np.array(sa)
 
-    sa_view = iter  # a list iterator sees what the scan writes ahead of it
-    if not lms:
+    if not len(lms):
         return induce([])
-    sa = induce(lms)
-    is_lms = bytearray(n)
-    for i in lms:
-        is_lms[i] = 1
-    order = [x for x in sa if is_lms[x]]
-    follow = dict(zip(lms, [*lms[1:], lms[-1]], strict=True))
-    names, name, last = {order[0]: 0}, 0, order[0]
-    for x in order[1:]:
-        span = follow[x] - x
-        if span != follow[last] - last or not span or s[x : x + span + 1] != s[last : last + span + 1]:
-            name += 1
-        names[x] = name
-        last = x
-    if name + 1 < len(lms):
-        order = [lms[i] for i in _sort_names([names[i] for i in lms], name + 1)]
-    return induce(order)
+    sa = induce(lms.tolist())
+    marked = np.zeros(n, bool)
+    marked[lms] = True
+    order = sa[marked[sa]]
+    names, number = _names(t, order, lms)
+    if number < len(lms):
+        order = lms[_sort_names(names, number)]
+    return induce(order.tolist())
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -168,7 +156,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     order = sa[marked[sa]]
     names, k = _names(text, order, lms)
     if k < len(lms):
-        order = lms[np.array(_sort_names(names.tolist(), k))]
+        order = lms[_sort_names(names, k)]
     return _induce(text, small, begin, order)
 
 
