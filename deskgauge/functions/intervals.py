@@ -50,6 +50,6 @@ def direction(lower: Column, upper: Column) -> Column:
 
 
 def evidence_label(n: Column, floor: int = 30) -> Column:
-    return F.when(n < floor, f"limited (<{floor} eligible observations)").otherwise(
-        f"{floor}+ eligible observations; uncertainty interval still applies"
+    return F.when(n < floor, f"below {floor} eligible rows").otherwise(
+        f"{floor} eligible rows or more, see the interval"
     )

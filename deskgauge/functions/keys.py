@@ -62,3 +62,8 @@ def content_hash(df: DataFrame) -> Column:
         for f in df.schema.fields
     ]
     return F.coalesce(F.sum(F.xxhash64(*columns).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+
+
+def hashed_draw(*parts: Column) -> Column:
+    """60 bits of the MD5 of the parts, joined by ``|``: a draw that other engines reproduce."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("bigint")

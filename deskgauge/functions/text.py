@@ -11,19 +11,24 @@ JUNK_PATTERNS = (
     r"(?i)\b(?:ivr|transcript)\b[^\n]*\b(?:failed|error|unavailable|technical issue)\b",
     r"(?i)^(?:[\[<])?\s*(?:no input|silence|unintelligible|call disconnected|ivr error)\b",
 )
-_SPACE = r"(?U)[\s\x1c-\x1f]+"
-_EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# --- fixed values: Unicode white space ------------------------------------------------------------------------------
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip_space(c: Column) -> Column:
     """Drop leading and trailing Unicode white space."""
-    return F.regexp_replace(c, _EDGES, "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def normalize_text(c: Column) -> Column:
     """Collapse white space; missing markers and blanks become NULL."""
-    squeezed = F.trim(F.regexp_replace(c, _SPACE, " "))
-    return F.when(~F.lower(squeezed).isin(*MISSING_TOKENS), squeezed)
+    squeezed = F.trim(F.regexp_replace(F.translate(c, WHITE, " " * len(WHITE)), " {2,}", " "))
+    return once(squeezed, lambda x: F.when(~F.lower(x).isin(*MISSING_TOKENS), x))
+
+
+def once(c: Column, then) -> Column:
+    """``then(c)``, with ``c`` evaluated a single time however often ``then`` names it."""
+    return F.get(F.transform(F.array(c), then), F.lit(0))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -38,16 +43,19 @@ def at_most_two_distinct_chars(c: Column) -> Column:
 
 def message_quality(message: Column) -> Column:
     """``struct(flag, reason)`` for one customer message; the first rule that applies wins."""
-    text = strip_space(F.coalesce(message, F.lit("")))
-    packed = F.replace(F.lower(text), F.lit(" "), F.lit(""))
-    reason = (
-        F.when(text == "", "empty_message")
-        .when(text.rlike(JUNK_PATTERNS[0]) | text.rlike(JUNK_PATTERNS[1]), "known_ivr_or_transcript_marker")
-        .when((F.length(text) < 3) | ~text.rlike("[A-Za-z0-9]"), "insufficient_text")
-        .when((F.length(text) >= 12) & at_most_two_distinct_chars(packed), "repetitive_text")
-        .otherwise("")
-    )
-    return F.struct(F.when(reason == "", "usable").otherwise("degraded").alias("flag"), reason.alias("reason"))
+
+    def rules(text: Column) -> Column:
+        packed = F.replace(F.lower(text), F.lit(" "), F.lit(""))
+        return (
+            F.when(text == "", "empty_message")
+            .when(text.rlike(JUNK_PATTERNS[0]) | text.rlike(JUNK_PATTERNS[1]), "known_ivr_or_transcript_marker")
+            .when((F.length(text) < 3) | ~text.rlike("[A-Za-z0-9]"), "insufficient_text")
+            .when((F.length(text) >= 12) & at_most_two_distinct_chars(packed), "repetitive_text")
+            .otherwise("")
+        )
+
+    reason = once(strip_space(F.coalesce(message, F.lit(""))), rules)
+    return once(reason, lambda r: F.struct(F.when(r == "", "usable").otherwise("degraded").alias("flag"), r.alias("reason")))
 
 
 def clip(c: Column, limit: int | None) -> Column:

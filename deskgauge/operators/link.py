@@ -222,7 +222,7 @@ def detect_repeat_contacts(
     never its own predecessor.
     """
     if window_days <= 0:
-        raise ValueError("window_days must be positive")
+        raise ValueError(f"window_days is {window_days}, needs 1 or more")
     blank = lambda c: F.nullif(F.col(c), F.lit(""))
     order, sku, customer = blank("order_id"), blank("product_sku"), blank("customer_id")
     method = F.when(order.isNotNull(), "customer_order_id").when(sku.isNotNull(), "customer_product_sku_fallback")

@@ -57,7 +57,7 @@ def enrich_tickets(tickets: DataFrame, orders: DataFrame, products: DataFrame) -
 def product_aggregate(rows: DataFrame, keys: Sequence[str], minimum_support: int = MINIMUM_SUPPORT) -> DataFrame:
     """Counts, replacement rate, exposure, satisfaction and support label per key."""
     if minimum_support < 1:
-        raise ValueError("minimum_support must be positive")
+        raise ValueError(f"minimum_support is {minimum_support}, needs 1 or more")
     eligible, replaced = F.count_if("replacement_eligible"), F.count_if("replacement")
     measures = [
         F.count(F.lit(1)).alias("ticket_count"),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -98,17 +97,13 @@ def with_sql(ctes: str, body: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
-_RUNS: dict[str, str] = {}
-
-
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint directory; local sessions without one use a temp folder."""
-    app = spark.sparkContext.applicationId
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if app not in _RUNS:
-            _RUNS[app] = tempfile.mkdtemp(prefix="deskgauge-")
-        root = _RUNS[app]
+    """A fresh folder below the shared checkpoint directory; only local sessions may do without, in the warehouse's place."""
+    root = spark.conf.get("spark.checkpoint.dir", "")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = os.path.join(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:"), "scratch")
     return os.path.join(root, f"{label}-{uuid.uuid4().hex}")
 
 

@@ -222,18 +222,9 @@ sig AS (SELECT agent, unnest(['csat', 'handle_time', 'sla']) AS m, unnest([1, 2,
 ord AS (SELECT agent, list(m ORDER BY s DESC, i) AS l FROM sig WHERE d = 'concern' GROUP BY agent)""",
         """SELECT r.agent AS agent_id, diagnostic_state, coalesce(l[1], 'no_confirmed_adverse_signal') AS primary_signal,
              l[2] AS secondary_signal,
-             CASE WHEN len(gates) > 0 THEN 'Not ranked: ' || array_to_string(gates, ', ')
-               WHEN concern_count = 0 THEN 'No adjusted metric has an interval wholly in the adverse direction; point estimates '
-                 || 'alone do not establish underperformance. Evidence strength is ' || evidence_strength
-                 || '; stability state is ' || stability_state || '.'
-               ELSE 'Adverse adjusted evidence on ' || concat_ws(', ', CASE WHEN direction_csat = 'concern' THEN 'CSAT' END,
-                   CASE WHEN direction_handle_time = 'concern' THEN 'handle time' END,
-                   CASE WHEN direction_sla = 'concern' THEN 'SLA breach rate' END)
-                 || '; evidence strength ' || evidence_strength || '; period state ' || stability_state || '.'
-                 || CASE WHEN favorable_count > 0 THEN ' Favorable signal on ' || concat_ws(', ',
-                   CASE WHEN direction_csat = 'favorable' THEN 'CSAT' END,
-                   CASE WHEN direction_handle_time = 'favorable' THEN 'handle time' END,
-                   CASE WHEN direction_sla = 'favorable' THEN 'SLA breach rate' END) || ' is retained as a conflict.' ELSE '' END
+             CASE WHEN len(gates) > 0 THEN 'gates=' || array_to_string(gates, ',')
+               ELSE 'against=' || coalesce(nullif(concat_ws(',', CASE WHEN direction_csat = 'concern' THEN 'csat' END, CASE WHEN direction_handle_time = 'concern' THEN 'handle_time' END, CASE WHEN direction_sla = 'concern' THEN 'sla' END), ''), 'none') || '; for=' || coalesce(nullif(concat_ws(',', CASE WHEN direction_csat = 'favorable' THEN 'csat' END, CASE WHEN direction_handle_time = 'favorable' THEN 'handle_time' END, CASE WHEN direction_sla = 'favorable' THEN 'sla' END), ''), 'none')
+                 || '; evidence=' || evidence_strength || '; periods=' || stability_state
              END AS priority_reason
            FROM ranked r LEFT JOIN ord USING (agent)""",
     ),
@@ -655,7 +646,7 @@ def _support(spark, sf):
     return robust.peer_definition_support(robust.peer_group_robustness(work_items(spark, sf)))
 
 
-REPLICATES = 20
+REPLICATES = 80
 
 
 @query("rob4_bootstrap_resamples")

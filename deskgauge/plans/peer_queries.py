@@ -335,8 +335,8 @@ def _gap_interval(spark, sf):
     "sta4_evidence_label",
     with_sql(
         WORK_ITEMS_SQL,
-        """SELECT agent_id, reporting_quarter, CASE WHEN count_if(valid_for_csat) < 30 THEN 'limited (<30 eligible observations)'
-             ELSE '30+ eligible observations; uncertainty interval still applies' END AS evidence
+        """SELECT agent_id, reporting_quarter, CASE WHEN count_if(valid_for_csat) < 30 THEN 'below 30 eligible rows'
+             ELSE '30 eligible rows or more, see the interval' END AS evidence
            FROM work_items GROUP BY agent_id, reporting_quarter""",
     ),
 )

@@ -41,9 +41,9 @@ class PipelineConfig:
     policy: ServicePolicy = field(default_factory=ServicePolicy)
     peers: PeerSpec = field(default_factory=PeerSpec)
     decisions: DecisionConfig = field(default_factory=DecisionConfig)
-    text_limit: int | None = 2000
+    text_limit: int | None = None
     selection_mode: str = "top_n"
-    selection_size: int = 250
+    selection_size: int | None = None
     model: str = "unset"
     prompt_version: str = "v1"
     bootstrap_replicates: int = 80
@@ -54,6 +54,7 @@ class Pipeline:
     """Runs the stages in order; ``tables`` holds every written table by name."""
 
     def __init__(self, spark: SparkSession, folder: str, config: PipelineConfig | None = None):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # naive times, roster days and months are those of UTC
         self.spark, self.folder, self.config = spark, folder, config or PipelineConfig()
         self.tables: dict[str, DataFrame] = {}
 
@@ -206,10 +207,9 @@ class Pipeline:
         context = link.review_context(
             t["normalized_tickets"], t["ticket_metrics"], t["ticket_economics"], t["agent_comparison"]
         )
+        context = self.store("review_context", context)  # the cut-off and the candidates both start from it
         pool = self.store("review_candidates", textreview.score_candidates(context, limit=c.text_limit))
-        chosen = textreview.select_candidates(
-            pool, c.selection_mode, c.selection_size, c.selection_size, seed=c.seed
-        )
+        chosen = textreview.select_candidates(pool, c.selection_mode, c.selection_size, seed=c.seed)
         chosen = self.store("review_requests", textreview.render_requests(chosen, c.model, c.prompt_version))
         schema = "ticket_id string, payload string, error string, seq int"
         given = self.spark.createDataFrame([], schema) if predictions is None else predictions
@@ -279,6 +279,6 @@ class Pipeline:
         self.store("peer_definition_support", robust.peer_definition_support(definitions))
 
 
-def read_raw(spark: SparkSession, folder: str, multiline: bool = True) -> dict[str, DataFrame]:
+def read_raw(spark: SparkSession, folder: str, multiline: bool = False) -> dict[str, DataFrame]:
     """The five raw CSV tables of a source folder."""
     return {name: readers.load_csv(spark, f"{folder}/{name}.csv", multiline) for name in readers.CONTRACTS}

@@ -164,7 +164,7 @@ def _batch(spark, sf):
         }
     )
     again = answered.filter("source = 'src5'").withColumn("seq", F.lit(2))
-    served = v.filter("source = 'src9'").select("ticket_id")
+    served = v.filter("source = 'src9' and is_valid").select("ticket_id", *textreview.RESULT_FIELDS)
     return textreview.batch_outcomes(v.select("ticket_id"), answered.unionByName(again), served)
 
 
@@ -176,7 +176,7 @@ BATCH_SQL = (
     VALIDATED_SQL
     + """,
 outcomes AS (
-  SELECT ticket_id, CASE WHEN source = 'src9' THEN 'cached' WHEN lang = 'de' OR source = 'src7' THEN 'provider_omitted_result'
+  SELECT ticket_id, CASE WHEN source = 'src9' AND rule IS NULL THEN 'cached' WHEN lang = 'de' OR source = 'src7' THEN 'provider_omitted_result'
       WHEN source = 'src3' THEN 'provider_error' WHEN rule IS NOT NULL THEN 'invalid_model_output' ELSE 'analyzed' END
       AS analysis_status, source, lang, rule, n_chars, text, j FROM validated
   UNION ALL SELECT 'X' || ticket_id, 'unknown_ticket_id', source, lang, rule, n_chars, text, j FROM validated
@@ -221,11 +221,11 @@ _REVIEWED_SQL = (
 reviewed AS (
   SELECT ticket_id, source AS agent_id, lang AS comparison_group, n_chars > 50 AS attendance_flag,
     CASE WHEN analysis_status IN ('analyzed', 'cached') THEN analysis_status ELSE 'invalid_model_output' END AS analysis_status,
-    CASE WHEN analysis_status = 'analyzed' THEN {_string_sql('issue_category')} END AS issue_category,
-    CASE WHEN analysis_status = 'analyzed' THEN {_string_sql('diagnostic_theme')} END AS diagnostic_theme,
-    CASE WHEN analysis_status = 'analyzed' THEN {_string_sql('evidence_strength')} END AS evidence_strength,
-    CASE WHEN analysis_status = 'analyzed' THEN {_string_sql('evidence')} END AS evidence,
-    CASE WHEN analysis_status = 'analyzed' THEN CAST(json_extract_string(j, '$.confidence') AS DOUBLE) END AS confidence
+    CASE WHEN analysis_status IN ('analyzed', 'cached') THEN {_string_sql('issue_category')} END AS issue_category,
+    CASE WHEN analysis_status IN ('analyzed', 'cached') THEN {_string_sql('diagnostic_theme')} END AS diagnostic_theme,
+    CASE WHEN analysis_status IN ('analyzed', 'cached') THEN {_string_sql('evidence_strength')} END AS evidence_strength,
+    CASE WHEN analysis_status IN ('analyzed', 'cached') THEN {_string_sql('evidence')} END AS evidence,
+    CASE WHEN analysis_status IN ('analyzed', 'cached') THEN CAST(json_extract_string(j, '$.confidence') AS DOUBLE) END AS confidence
   FROM outcomes WHERE analysis_status <> 'unknown_ticket_id')"""
 )
 
@@ -395,12 +395,23 @@ def _score(spark, sf):
     with_sql(SCORED_SQL, "SELECT ticket_id, candidate_score FROM candidates ORDER BY candidate_score DESC, ticket_id LIMIT 250"),
 )
 def _top_n(spark, sf):
-    return textreview.select_candidates(scored(spark, sf)).select("ticket_id", "candidate_score")
+    return textreview.select_candidates(scored(spark, sf), limit=250).select("ticket_id", "candidate_score")
 
 
-@query("txt3_select_sampled")
+@query(
+    "txt3_select_sampled",
+    with_sql(
+        SCORED_SQL,
+        "SELECT ticket_id, candidate_score FROM candidates ORDER BY ('0x' || substr(md5('1701|' || ticket_id), 1, 15))::BIGINT, ticket_id LIMIT 100",
+    ),
+)
 def _sampled(spark, sf):
-    return textreview.select_candidates(scored(spark, sf), "sampled").select("ticket_id", "candidate_score")
+    return textreview.select_candidates(scored(spark, sf), "sampled", 100).select("ticket_id", "candidate_score")
+
+
+@query("txt3_select_all", with_sql(SCORED_SQL, "SELECT ticket_id, candidate_score FROM candidates"))
+def _all(spark, sf):
+    return textreview.select_candidates(scored(spark, sf), "all").select("ticket_id", "candidate_score")
 
 
 def requests(spark, sf):
@@ -417,7 +428,7 @@ requests AS (
       ', transfers ', coalesce(transfers_numeric, 0), ', refund ', CASE WHEN refund_amount_inr > 0 THEN 'yes' ELSE 'no' END,
       '. replacement ', CASE WHEN replacement_issued_flag THEN 'yes' ELSE 'no' END,
       '. Gaps to peers: score unavailable, handle unavailable, response unavailable. Customer: ', customer_message, ' Notes: ',
-      coalesce(agent_notes, '[missing]')) AS request FROM candidates)"""
+      coalesce(agent_notes, '(no notes)')) AS request FROM candidates)"""
 )
 
 

@@ -102,7 +102,7 @@ def publish_bundle(tables: Mapping[str, tuple[DataFrame, Sequence[str]]], folder
     for name, (df, allowed) in tables.items():
         missing = sorted(set(allowed) - set(df.columns))
         if missing:
-            raise ValueError(f"{name} is missing deployment fields: {', '.join(missing)}")
+            raise ValueError(f"{name} lacks {', '.join(missing)}")
         write_table(df.select(*allowed), f"{folder}/{name}", mode="error")
     written = [manifest_row(spark.read.parquet(f"{folder}/{name}"), name) for name in tables]
     manifest = _union(written)

@@ -85,8 +85,8 @@ def test_gates(planted):
 def test_signals_and_text(planted):
     assert planted["worst"]["primary_signal"] == "csat" and planted["worst"]["secondary_signal"] == "handle_time"
     assert planted["clash"]["diagnostic_state"] == "mixed_performance"
-    assert "Favorable signal on SLA breach rate" in planted["clash"]["priority_reason"]
-    assert planted["fine"]["priority_reason"].startswith("No adjusted metric")
+    assert "; for=sla;" in planted["clash"]["priority_reason"]
+    assert planted["fine"]["priority_reason"].startswith("against=none; ")
     assert planted["worst"]["priority_rank"] == 1 and planted["fine"]["priority_rank"] is None
 
 
@@ -207,7 +207,7 @@ def test_missing_price_means_unknown_cost(spark):
 
 def test_sampling_is_deterministic(spark):
     rows = spark.range(500).select(F.col("id").cast("string").alias("ticket_id"), F.lit(1).alias("candidate_score"))
-    pick = lambda df, seed: {r[0] for r in textreview.select_candidates(df, "sampled", sample_size=50, seed=seed).select("ticket_id").collect()}
+    pick = lambda df, seed: {r[0] for r in textreview.select_candidates(df, "sampled", 50, seed=seed).select("ticket_id").collect()}
     assert pick(rows, 1) == pick(rows.repartition(5), 1) != pick(rows, 2)
-    with pytest.raises(ValueError, match="unknown"):
+    with pytest.raises(ValueError, match="none of"):
         textreview.select_candidates(rows, "other")

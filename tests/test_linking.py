@@ -90,7 +90,7 @@ def test_repeat_contact_reasons(spark):
     df = link.detect_repeat_contacts(spark.createDataFrame([contact(1, None, None), contact(2, T(2025, 1, 1), None, order="", sku="")], CONTACTS))
     got = {r["ticket_id"]: r["repeat_contact_candidate_reason"] for r in df.collect()}
     assert got == {"1": "missing_created_at_or_customer_id", "2": "missing_order_and_product_sku"}
-    with pytest.raises(ValueError, match="positive"):
+    with pytest.raises(ValueError, match="needs 1"):
         link.detect_repeat_contacts(df, 0)
 
 

@@ -35,7 +35,7 @@ def result(spark, tmp_path_factory):
         if r["agent_notes"]
     ]
     predictions = spark.createDataFrame(answers, "ticket_id string, payload string, error string, seq int")
-    raw = read_raw(spark, str(root / "raw"))
+    raw = read_raw(spark, str(root / "raw"), multiline=True)
     return pack, Pipeline(spark, str(root / "out"), config).run(raw, predictions)
 
 
