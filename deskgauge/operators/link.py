@@ -121,15 +121,24 @@ def _pair_candidates(orders: DataFrame, fields: Sequence[str]) -> DataFrame:
 ORDER_FIELDS = ("order_id", "customer_id", "sku", "order_date", "channel", "qty", "order_value_inr", "lot_code")
 
 
-def link_orders_basic(tickets: DataFrame, orders: DataFrame) -> DataFrame:
-    """Order by id, else the unique (customer, sku) order. No conflict check; adds the match flag and order date."""
+def _spread(key: Column, row: Column) -> Column:
+    """The join key, or where it is NULL one of many values that no table holds: such rows don't meet in one task."""
+    return F.coalesce(key, F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(row), F.lit(4096)).cast("string")))
+
+
+def _with_order_candidates(tickets: DataFrame, orders: DataFrame) -> DataFrame:
+    """Adds the order with the ticket's id (``direct``), else the (customer, sku) orders. Linked tickets look for no pair."""
     direct = orders.select(F.col("order_id").alias("__id"), F.struct(*ORDER_FIELDS).alias("direct"))
     pairs = _pair_candidates(orders, ORDER_FIELDS).withColumnsRenamed({"customer_id": "__c", "sku": "__s"})
-    joined = tickets.join(direct, F.col("order_id") == F.col("__id"), "left").join(
-        pairs,
-        F.col("direct").isNull() & (tickets["customer_id"] == F.col("__c")) & (F.col("product_sku") == F.col("__s")),
-        "left",
-    )
+    row, customer, sku = tickets["ticket_id"], tickets["customer_id"], tickets["product_sku"]
+    looks = F.col("direct").isNull() & customer.isNotNull() & sku.isNotNull()
+    joined = tickets.join(direct, _spread(tickets["order_id"], row) == F.col("__id"), "left")
+    return joined.join(pairs, (_spread(F.when(looks, customer), row) == F.col("__c")) & (F.coalesce(sku, F.lit("")) == F.col("__s")), "left")
+
+
+def link_orders_basic(tickets: DataFrame, orders: DataFrame) -> DataFrame:
+    """Order by id, else the unique (customer, sku) order. No conflict check; adds the match flag and order date."""
+    joined = _with_order_candidates(tickets, orders)
     chosen = F.coalesce("direct", F.when(F.col("pair_orders") == 1, F.col("pair")))
     flag = (
         F.when(chosen.isNotNull(), "matched")
@@ -146,12 +155,8 @@ def link_orders_basic(tickets: DataFrame, orders: DataFrame) -> DataFrame:
 
 def link_orders_checked(tickets: DataFrame, orders: DataFrame) -> DataFrame:
     """Order link that refuses conflicting evidence; one row per ticket with status and method."""
-    direct = orders.select(F.col("order_id").alias("__id"), F.struct(*ORDER_FIELDS).alias("direct"))
-    pairs = _pair_candidates(orders, ORDER_FIELDS).withColumnsRenamed({"customer_id": "__c", "sku": "__s"})
     customer, sku = tickets["customer_id"], tickets["product_sku"]
-    joined = tickets.join(direct, tickets["order_id"] == F.col("__id"), "left").join(
-        pairs, F.col("direct").isNull() & (customer == F.col("__c")) & (sku == F.col("__s")), "left"
-    )
+    joined = _with_order_candidates(tickets, orders)
     found = F.col("direct").isNotNull()
     agrees = (
         (customer.isNull() | customer.eqNullSafe(F.col("direct.customer_id")))

@@ -32,7 +32,7 @@ def _csv(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
     keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     docs.write.options(header=True, quoteAll=True, escape='"', **keep).csv(path)
-    loaded = readers.load_csv(spark, path)
+    loaded = readers.load_csv(spark, path, multiline=True)  # texts hold line breaks
     return loaded.select("doc_id", F.md5("text").alias("text_hash"), "lang", "source")
 
 
