@@ -649,7 +649,38 @@ def _support(spark, sf):
 REPLICATES = 80
 
 
-@query("rob4_bootstrap_resamples")
+# customers are numbered by hash bucket and id, and draw by hashes that both engines compute
+_DRAW = "('0x' || substr(md5({}), 1, 15))::BIGINT"
+_CUSTOMER = "coalesce(nullif(customer_id, ''), '__ticket__' || ticket_id)"
+_WEIGHTED = ", ".join(
+    f"sum(CASE WHEN {o.eligible} THEN times * CAST({o.value} AS DOUBLE) END) / sum(CASE WHEN {o.eligible} AND {o.value} IS NOT NULL THEN times END) AS m_{o.name}, "
+    f"coalesce(sum(CASE WHEN {o.eligible} AND {o.value} IS NOT NULL THEN times END), 0) AS n_{o.name}"
+    for o in OUTCOMES
+)
+_SCORE = " + ".join(
+    f"CASE WHEN {o.gap} * {o.adverse_sign} > 0 AND n_{o.name} >= 30 THEN {robust.SIGNAL_WEIGHTS[o.name]} ELSE 0 END" for o in OUTCOMES
+)
+_DRAWN_MEANS = f"""WITH who AS (SELECT DISTINCT {_CUSTOMER} AS c FROM work_items),
+    idx AS (SELECT c, row_number() OVER (ORDER BY {_DRAW.format('c')} % 256, c) - 1 AS i, count(*) OVER () AS n FROM who),
+    drawn AS (SELECT r AS replicate, {_DRAW.format("'1701|' || r || '|' || i")} % n AS d, count(*) AS times
+      FROM idx, range(1, {REPLICATES + 1}) t(r) GROUP BY ALL),
+    latest AS (SELECT agent_id, max_by({_TEAM}, (resolved_at, ticket_id, {_TEAM})) AS comparison_group {_MATCHED} GROUP BY agent_id)
+  SELECT replicate, w.agent_id, any_value(comparison_group) AS comparison_group, {_WEIGHTED}
+  FROM work_items w JOIN idx ON c = {_CUSTOMER} JOIN drawn ON d = i JOIN latest ON latest.agent_id = w.agent_id
+  WHERE agent_assignment_flag = 'matched' GROUP BY replicate, w.agent_id"""
+
+
+@query(
+    "rob4_bootstrap_resamples",
+    _robust_sql(
+        _DRAWN_MEANS,
+        _gap_sql("a.comparison_group = b.comparison_group AND a.replicate = b.replicate", "a.replicate,"),
+        f"""SELECT {out('agent_id comparison_group', 'replicate rank_by_adverse_signal adverse_signal_count', _GAP_X)}, candidate_proxy,
+              CASE WHEN candidate_proxy THEN 'exploratory_concern' ELSE 'monitor' END AS priority_band_proxy
+            FROM (SELECT *, adverse_signal_count >= 2 AND peer_agent_count >= 2 AS candidate_proxy, row_number() OVER (
+                PARTITION BY replicate, comparison_group ORDER BY {_SCORE} DESC, agent_id) AS rank_by_adverse_signal FROM r)""",
+    ),
+)
 def _resamples(spark, sf):
     return robust.bootstrap_resamples(work_items(spark, sf), REPLICATES)
 
@@ -659,7 +690,6 @@ def _bootstrap(spark, sf):
     return robust.bootstrap_summary(robust.bootstrap_resamples(work_items(spark, sf), REPLICATES), REPLICATES)
 
 
-# the draws are hashes and have no SQL counterpart, but every replicate must hold each customer's weight exactly N times
 @query(
     "rob4_customer_index",
     """SELECT count(*) AS customers, count(*) AS distinct_indexes, 0::BIGINT AS lowest, count(*) - 1 AS highest, count(*) AS population
