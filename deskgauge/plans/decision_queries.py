@@ -670,6 +670,10 @@ _DRAWN_MEANS = f"""WITH who AS (SELECT DISTINCT {_CUSTOMER} AS c FROM work_items
   WHERE agent_assignment_flag = 'matched' GROUP BY replicate, w.agent_id"""
 
 
+_RESAMPLED = f"""SELECT *, adverse_signal_count >= 2 AND peer_agent_count >= 2 AS candidate_proxy, row_number() OVER (
+    PARTITION BY replicate, comparison_group ORDER BY {_SCORE} DESC, agent_id) AS rank_by_adverse_signal FROM r"""
+
+
 @query(
     "rob4_bootstrap_resamples",
     _robust_sql(
@@ -677,15 +681,42 @@ _DRAWN_MEANS = f"""WITH who AS (SELECT DISTINCT {_CUSTOMER} AS c FROM work_items
         _gap_sql("a.comparison_group = b.comparison_group AND a.replicate = b.replicate", "a.replicate,"),
         f"""SELECT {out('agent_id comparison_group', 'replicate rank_by_adverse_signal adverse_signal_count', _GAP_X)}, candidate_proxy,
               CASE WHEN candidate_proxy THEN 'exploratory_concern' ELSE 'monitor' END AS priority_band_proxy
-            FROM (SELECT *, adverse_signal_count >= 2 AND peer_agent_count >= 2 AS candidate_proxy, row_number() OVER (
-                PARTITION BY replicate, comparison_group ORDER BY {_SCORE} DESC, agent_id) AS rank_by_adverse_signal FROM r)""",
+            FROM ({_RESAMPLED})""",
     ),
 )
 def _resamples(spark, sf):
     return robust.bootstrap_resamples(work_items(spark, sf), REPLICATES)
 
 
-@query("rob4_bootstrap_summary")
+_INTERVALS = {
+    o: (f"list_sort(list({o.gap}) FILTER ({o.gap} IS NOT NULL))", "high < 0" if o.adverse_sign < 0 else "low > 0") for o in OUTCOMES
+}
+
+
+def _interval_sql(o, bad: str) -> str:
+    low, high = (f"l_{o.name}[floor({p} * (coalesce(len(l_{o.name}), 0) - 1))::INT + 1]" for p in (0.025, 0.975))
+    return (
+        f"round({low}, 6) + 0.0 AS {o.gap}_ci_lower, round({high}, 6) + 0.0 AS {o.gap}_ci_upper, "
+        f"coalesce(len(l_{o.name}), 0)::BIGINT AS {o.name}_bootstrap_replicates, "
+        f"coalesce({bad.replace('high', high).replace('low', low)}, false) AS {o.name}_bootstrap_interval_adverse"
+    )
+
+
+@query(
+    "rob4_bootstrap_summary",
+    _robust_sql(
+        _DRAWN_MEANS,
+        _gap_sql("a.comparison_group = b.comparison_group AND a.replicate = b.replicate", "a.replicate,"),
+        f"""SELECT *, {' OR '.join(f'{o.name}_bootstrap_interval_adverse' for o in OUTCOMES)} AS bootstrap_supported_adverse FROM (
+              SELECT agent_id, {out('', x='candidate_inclusion_frequency top10_inclusion_frequency mean_group_rank rank_standard_deviation')},
+                {', '.join(_interval_sql(o, bad) for o, (_, bad) in _INTERVALS.items())}
+              FROM (SELECT agent_id, count_if(candidate_proxy) / {REPLICATES} AS candidate_inclusion_frequency,
+                  count_if(rank_by_adverse_signal <= 10) / {REPLICATES} AS top10_inclusion_frequency,
+                  avg(rank_by_adverse_signal) AS mean_group_rank, stddev_pop(rank_by_adverse_signal) AS rank_standard_deviation,
+                  {', '.join(f'{values} AS l_{o.name}' for o, (values, _) in _INTERVALS.items())}
+                FROM ({_RESAMPLED}) GROUP BY agent_id))""",
+    ),
+)
 def _bootstrap(spark, sf):
     return robust.bootstrap_summary(robust.bootstrap_resamples(work_items(spark, sf), REPLICATES), REPLICATES)
 
