@@ -210,8 +210,10 @@ def _adjusted(spark, sf):
     return adjusted(spark, sf).select(*ASSIGNMENT, *_ADJ_K.split(), *_ADJ_N.split(), *_ADJ_X.split())
 
 
+_PG4_KEYS = "period_type period csat_fallback_level handle_time_fallback_level sla_fallback_level"
 _PG4 = (
     "csat_eligible_count csat_peer_sample_size csat_distinct_peer_count csat_adjustment_coverage_count "
+    "handle_time_eligible_count handle_time_peer_sample_size handle_time_distinct_peer_count handle_time_adjustment_coverage_count "
     "sla_eligible_count sla_peer_sample_size sla_distinct_peer_count sla_adjustment_coverage_count"
 )
 
@@ -220,13 +222,13 @@ _PG4 = (
     "pg4_cell_fallback_evidence",
     with_sql(
         ADJUSTED_SQL,
-        f"""SELECT {_ASSIGN_SHOWN}, {out('period_type period csat_fallback_level sla_fallback_level', _PG4)} FROM adjusted
-            WHERE csat_eligible_count > 0 AND sla_eligible_count > 0""",
+        f"""SELECT {_ASSIGN_SHOWN}, {out(_PG4_KEYS, _PG4)} FROM adjusted
+            WHERE csat_eligible_count > 0 AND handle_time_eligible_count > 0 AND sla_eligible_count > 0""",
     ),
 )
 def _fallback(spark, sf):
-    rows = adjusted_table(spark, sf).filter("csat_eligible_count > 0 and sla_eligible_count > 0")
-    return rows.select(*ASSIGNMENT, "period_type", "period", "csat_fallback_level", "sla_fallback_level", *_PG4.split())
+    rows = adjusted_table(spark, sf).filter("csat_eligible_count > 0 and handle_time_eligible_count > 0 and sla_eligible_count > 0")
+    return rows.select(*ASSIGNMENT, *_PG4_KEYS.split(), *_PG4.split())
 
 
 STABILITY_SQL = f"""
