@@ -24,7 +24,7 @@ class Settings:
     """``sample`` vectors fit at most ``centroids`` lists of about ``list_size`` vectors. A vector is stored in up to
     ``replicas`` lists within ``closure`` times its nearest distance. A query reads the lists within a ratio of its nearest
     distance that holds ``recall`` of the true neighbours of ``trials`` sampled vectors, and as many as hold ``least`` vectors.
-    ``chunk`` and ``query_chunk`` bound what one task compares at a time; longer lists are split."""
+    Neighbouring lists are compared in blocks of about ``chunk`` vectors with ``query_chunk`` queries; longer lists are split."""
 
     sample: int = 20_000
     centroids: int = 2_500
@@ -35,7 +35,7 @@ class Settings:
     trials: int = 100
     least: int = 400
     chunk: int = 8_192
-    query_chunk: int = 256
+    query_chunk: int = 1_024
     links: int = 16
     beam: int = 32
     seed: int = 11
@@ -200,8 +200,22 @@ def fit_ratio(vectors: DataFrame, graph: CentroidGraph, settings: Settings, top:
     return ratio, min(len(graph.centres), within + within // 4 + 1)
 
 
-def _probes(queries: DataFrame, graph: CentroidGraph, sizes: np.ndarray, ratio: float, most: int, settings: Settings) -> DataFrame:
-    """(list, query_id, vector): lists within the ratio of the nearest, at least as many as hold ``least`` vectors."""
+def _blocks(graph: CentroidGraph, sizes: np.ndarray, settings: Settings) -> np.ndarray:
+    """A block number for each list: neighbouring lists share one of about ``chunk`` vectors, larger lists have their own."""
+    c = graph.centres - graph.centres.mean(axis=0)
+    axis = np.linalg.svd(c, full_matrices=False)[2][0] if len(c) > 1 else np.ones(c.shape[1])
+    out, block, held = np.zeros(len(c), np.int32), 0, 0
+    for i in np.argsort(c @ axis, kind="stable"):
+        if held and held + sizes[i] > settings.chunk:
+            block, held = block + 1, 0
+        out[i] = block
+        held += sizes[i]
+    return out
+
+
+def _probes(queries: DataFrame, graph: CentroidGraph, sizes: np.ndarray, blocks: np.ndarray, ratio: float, most: int, settings: Settings) -> DataFrame:
+    """(block, query_id, vector, lists): for each block the lists within the ratio of the nearest, at least as many in all
+    as hold ``least`` vectors."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,28 +224,36 @@ def _probes(queries: DataFrame, graph: CentroidGraph, sizes: np.ndarray, ratio:
                 ids, dist = graph.nearest(_matrix(part.column(1)), max(settings.beam, most))
                 held = np.where(ids >= 0, sizes[np.maximum(ids, 0)], 0)
                 before = np.cumsum(held, axis=1) - held
-                rows, places = np.nonzero((ids >= 0) & ((dist <= ratio * dist[:, :1]) | (before < settings.least)))
-                taken = part.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows, places].astype(np.int32)), taken.column(0), taken.column(1)], names=["list", "query_id", "vector"])
+                wanted = (ids >= 0) & ((dist <= ratio * dist[:, :1]) | (before < settings.least))
+                rows, found, lists = [], [], []
+                for row in range(len(ids)):
+                    own = ids[row][wanted[row]]
+                    for block in np.unique(blocks[own]):
+                        rows.append(row)
+                        found.append(block)
+                        lists.append(own[blocks[own] == block].tolist())
+                taken = part.take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), taken.column(0), taken.column(1), pa.array(lists, pa.list_(pa.int32()))], names=["block", "query_id", "vector", "lists"])
+
+    return queries.mapInArrow(probe, "block int, query_id long, vector array<float>, lists array<int>")
 
-    return queries.mapInArrow(probe, "list int, query_id long, vector array<float>")
 
+def _nearest_in_block(top: int):
+    """For each query the nearest vectors of its lists in one block."""
 
-def _nearest_in_chunk(top: int):
     def compare(held: pa.Table, asked: pa.Table) -> pa.Table:
         empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not held.num_rows or not asked.num_rows:
             return empty
-        own, x = held["vec_id"].to_numpy(), _matrix(held["vector"])
+        own, lists, x = held["vec_id"].to_numpy(), held["list"].to_numpy(), _matrix(held["vector"])
         out = []
-        for q, v in zip(asked["query_id"].to_numpy(), _matrix(asked["vector"]), strict=True):
-            d = np.sqrt(((x - v) ** 2).sum(axis=1))
-            d = np.where(own == q, np.inf, d)
-            order = np.lexsort((own, d))
-            order = order[np.isfinite(d[order])]
-            _, first = np.unique(own[order], return_index=True)  # a repeated id counts once, at its nearest
+        for q, v, some in zip(asked["query_id"].to_numpy(), _matrix(asked["vector"]), asked["lists"].to_pylist(), strict=True):
+            at = np.flatnonzero(np.isin(lists, some) & (own != q))
+            d = np.sqrt(((x[at] - v) ** 2).sum(axis=1))
+            order = np.lexsort((own[at], d))
+            _, first = np.unique(own[at][order], return_index=True)  # a repeated id counts once, at its nearest
             order = order[np.sort(first)][:top]
-            out.append((np.full(len(order), q), own[order], d[order]))
+            out.append((np.full(len(order), q), own[at][order], d[order]))
         a, b, c = (np.concatenate(z) for z in zip(*out, strict=True))
         return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
 
@@ -254,18 +276,21 @@ def search(table: DataFrame, wanted: Column, top: int = 10, settings: Settings =
     for row in lists.groupBy("list").count().collect():  # one row per centroid, a fixed bound
         sizes[row.list] = row["count"]
     ratio, most = fit_ratio(vectors, graph, settings, top)
-    probes = stored(_probes(vectors.where(wanted), graph, sizes, ratio, most, settings), "probes")
-    asked = np.zeros(len(sizes), np.int64)
-    for row in probes.groupBy("list").count().collect():
-        asked[row.list] = row["count"]
-    parts = np.maximum(-(-sizes // settings.chunk), 1).tolist()
+    blocks = _blocks(graph, sizes, settings)
+    held = np.bincount(blocks, weights=sizes).astype(np.int64)
+    probes = stored(_probes(vectors.where(wanted), graph, sizes, blocks, ratio, most, settings), "probes")
+    asked = np.zeros(len(held), np.int64)
+    for row in probes.groupBy("block").count().collect():
+        asked[row.block] = row["count"]
+    parts = np.maximum(-(-held // settings.chunk), 1).tolist()
     rounds = np.maximum(-(-asked // settings.query_chunk), 1).tolist()
-    part_of, round_of = F.get(F.lit(parts), F.col("list")), F.get(F.lit(rounds), F.col("list"))
-    some = F.get(F.lit((asked > 0).tolist()), F.col("list"))  # lists that no query reads stay where they are
-    left = lists.where(some).select("list", F.pmod(F.xxhash64("vec_id"), part_of).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), (round_of - 1).cast("int"))).alias("round"), "vec_id", "vector")
-    right = probes.select("list", F.explode(F.sequence(F.lit(0), (part_of - 1).cast("int"))).alias("part"), F.pmod(F.xxhash64("query_id"), round_of).cast("int").alias("round"), "query_id", "vector")
-    keys = ["list", "part", "round"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_nearest_in_chunk(top), "query_id long, vec_id long, score double")
+    part_of, round_of = F.get(F.lit(parts), F.col("block")), F.get(F.lit(rounds), F.col("block"))
+    some = F.get(F.lit((asked > 0).tolist()), F.col("block"))  # blocks that no query reads stay where they are
+    left = lists.withColumn("block", F.get(F.lit(blocks.tolist()), F.col("list"))).where(some)
+    left = left.select("block", F.pmod(F.xxhash64("vec_id"), part_of).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), (round_of - 1).cast("int"))).alias("round"), "list", "vec_id", "vector")
+    right = probes.select("block", F.explode(F.sequence(F.lit(0), (part_of - 1).cast("int"))).alias("part"), F.pmod(F.xxhash64("query_id"), round_of).cast("int").alias("round"), "query_id", "vector", "lists")
+    keys = ["block", "part", "round"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_nearest_in_block(top), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
