@@ -106,14 +106,62 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.span_list("base"), 256).alias("base_sha256"), secrets.span_list("spans").alias("spans"))
 
 
-@_query("op6_warc_round_trip")
+_BASE32 = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(x, (5 * i) // 4 + 1, 2))::INT) >> (3 - (5 * i) % 4)) & 31), 1)"
+
+
+@_query(
+    "op6_warc_round_trip",
+    f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY x) AS latest FROM p)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, array_to_string(list_transform(range(32), lambda i: {_BASE32}), '') AS payload_digest,
+       CASE WHEN page_id < latest THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < latest THEN latest END AS refers_to,
+       CAST(NULL AS VARCHAR) AS error
+FROM m
+""",
+)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = stored(warc.write_archives(table(spark, sf_dir, "pages")), "archives")
     records = warc.read_archives(archives, payloads=False)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
 
 
-@_query("op7_source_mix")
+def _mix_sql(mix: mixing.Mix) -> str:
+    """The mix in SQL: one water-filling step per level of the tree, then the order of each leaf's next epoch."""
+    ctes, given = [], None
+    for depth, level in enumerate(mixing.TREE):
+        family, keys = mixing.TREE[:depth], ", ".join(mixing.TREE[: depth + 1])
+        cases = " ".join(f"WHEN {level} = '{n}' THEN {w}" for n, w in mix.weights.get(level, {}).items())
+        weight = f"CASE {cases} ELSE {mix.other} END" if cases else f"{mix.other}"
+        by = f"PARTITION BY {', '.join(family)}" if family else ""
+        order = f"{by} ORDER BY capacity / w, {level} NULLS FIRST"
+        parent = f"FROM n{depth} JOIN g{depth - 1} AS p ON " + " AND ".join(f"n{depth}.{f} IS NOT DISTINCT FROM p.{f}" for f in family) if family else f"FROM n{depth}"
+        start = "p.budget" if family else f"(SELECT sum(held) * {mix.budget} // 1000 FROM n0)"
+        own = ", ".join(f"n{depth}.{k}" for k in mixing.TREE[: depth + 1])
+        ctes.append(f"""n{depth} AS (SELECT {keys}, sum(tokens)::HUGEINT * {mix.epochs} AS capacity, sum(tokens)::HUGEINT AS held FROM r GROUP BY ALL),
+f{depth} AS (SELECT {own}, n{depth}.capacity, n{depth}.held, ({weight.replace(level, f'n{depth}.{level}', 1) if not cases else weight.replace(f'WHEN {level}', f'WHEN n{depth}.{level}')})::HUGEINT AS w, {start}::HUGEINT AS given {parent}),
+s{depth} AS (SELECT *, given - coalesce(sum(capacity) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_over,
+  sum(w) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws FROM f{depth}),
+c{depth} AS (SELECT *, capacity * ws <= left_over * w AS fits FROM s{depth}),
+g{depth} AS (SELECT {keys}, held, CASE WHEN fits THEN capacity ELSE least(capacity,
+  first_value(left_over) OVER (PARTITION BY {', '.join([*family, 'fits'])} ORDER BY capacity / w, {level} NULLS FIRST) * w //
+  first_value(ws) OVER (PARTITION BY {', '.join([*family, 'fits'])} ORDER BY capacity / w, {level} NULLS FIRST)) END AS budget FROM c{depth})""")
+    match = " AND ".join(f"r.{c} IS NOT DISTINCT FROM l.{c}" for c in mixing.TREE)
+    leaf = ", ".join(mixing.TREE)
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce(doc_id::VARCHAR, 'null') || '|' || md5(coalesce(text, '')) AS identity,
+         'd' || (('0x' || substr(md5(coalesce(source, '')), 1, 8))::BIGINT % 4) AS domain, lang, source,
+         greatest(1, len(list_filter(string_split_regex(coalesce(text, ''), '[ \\t-\\r]+'), lambda x: x <> ''))) AS k FROM documents
+), r AS (SELECT doc_id, identity, {leaf}, count(*) AS rows, sum(k) AS tokens FROM d GROUP BY ALL), {', '.join(ctes)},
+l AS (SELECT *, budget // held AS whole, budget % held AS rest FROM g{len(mixing.TREE) - 1}),
+o AS (SELECT r.*, whole, rest, ('0x' || substr(md5('{mix.seed}|' || whole || '|' || identity), 1, 15))::BIGINT AS draw FROM r JOIN l ON {match}),
+b AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY {leaf} ORDER BY draw, identity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM o)
+SELECT doc_id, {leaf}, rows, tokens::BIGINT AS tokens, (whole + (begins < rest)::INT)::INT AS copies FROM b
+"""
+
+
+@_query("op7_source_mix", _mix_sql(mixing.Mix()))
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = mixing.selected(table(spark, sf_dir, "documents"))
     return chosen.select("doc_id", "domain", "lang", "source", "rows", "tokens", "copies")
