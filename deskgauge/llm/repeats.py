@@ -189,66 +189,66 @@ def _repeats_of(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarra
     return piece, at[firsts] - begin, at[lasts] - begin
 
 
-def _sort_shards(length: int, array_bytes: int, group_bytes: int):
-    """(hash, piece_id, first, last, w1, w2) of a stream of (hash, piece_id, again, piece) sorted by hash and piece_id.
+_RUNS = pa.schema([("hash", pa.int64()), ("piece_id", pa.binary()), ("first", pa.int32()), ("last", pa.int32())])
 
-    Whole groups are gathered until an array's worth is there. A group beyond ``group_bytes`` gives the hashes w1, w2 of each
-    window instead.
-    """
-    schema = pa.schema([("hash", pa.int64()), ("piece_id", pa.binary()), ("first", pa.int32()), ("last", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64())])
 
-    def windows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        for value, name, _, piece in rows:
-            n = len(piece) - length + 1
-            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(piece[i : i + length]) for i in range(n)), np.int64).reshape(n, 2)
-            at = pa.array(np.arange(n, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array([value] * n, pa.int64()), pa.array([name] * n, pa.binary()), at, at, pa.array(digests[:, 0]), pa.array(digests[:, 1])], schema=schema)
+def _sort_shards(length: int, array_bytes: int):
+    """(hash, piece_id, first, last) of a stream of (hash, piece_id, again, piece) sorted by hash and piece_id.
+
+    Whole groups are gathered until an array's worth is there.
+    """
 
     def sort(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         if not rows:
             return
         number, first, last = _repeats_of([r[3] for r in rows], length)
         if len(number):
-            none = pa.nulls(len(number), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([rows[i][0] for i in number], pa.int64()), pa.array([rows[i][1] for i in number], pa.binary()), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), none, none], schema=schema
-            )
+            columns = [pa.array([rows[i][0] for i in number], pa.int64()), pa.array([rows[i][1] for i in number], pa.binary()), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, schema=_RUNS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready: list[tuple] = []
-        ready_size = 0
         group: list[tuple] = []
-        size, big, value, name = 0, False, None, None
-
-        def stream() -> Iterator[tuple]:
-            for batch in batches:
-                yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True)
-
-        for h, i, again, piece in stream():
-            if h != value:
-                if not big and (len(group) > 1 or group and group[0][2]):  # one piece that can't repeat itself needs no array
-                    ready += group
-                    ready_size += size
-                    if ready_size >= array_bytes:
+        size, value, name = 0, None, None
+
+        def close() -> int:
+            if len(group) > 1 or group and group[0][2]:  # one piece that can't repeat itself needs no array
+                ready.extend(group)
+                return sum(len(r[3]) for r in group)
+            return 0
+
+        for batch in batches:
+            for h, i, again, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if h != value:
+                    size += close()
+                    if size >= array_bytes:
                         yield from sort(ready)
-                        ready, ready_size = [], 0
-                group, size, big, value, name = [], 0, False, h, None
-            if i == name:
-                continue  # another task's copy of the piece
-            name = i
-            group.append((h, i, again, piece.as_py()))
-            size += len(group[-1][3])
-            big = big or size > group_bytes
-            if big:
-                yield from windows(group)
-                group = []
-        if not big and (len(group) > 1 or group and group[0][2]):
-            ready += group
+                        ready, size = [], 0
+                    group, value, name = [], h, None
+                if i != name:  # else another task's copy of the piece
+                    name = i
+                    group.append((h, i, again, piece.as_py()))
+        close()
         yield from sort(ready)
 
     return run
 
 
+def _window_hashes(length: int):
+    """(hash, piece_id, at, w1, w2): 128 bits of each window of a stream of (hash, piece_id, piece)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, i, piece in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                data = piece.as_py()
+                n = len(data) - length + 1
+                digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[k : k + length]) for k in range(n)), np.int64).reshape(n, 2)
+                columns = [pa.array([h.as_py()] * n, pa.int64()), pa.array([i.as_py()] * n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(digests[:, 0]), pa.array(digests[:, 1])]
+                yield pa.RecordBatch.from_arrays(columns, names=["hash", "piece_id", "at", "w1", "w2"])
+
+    return run
+
+
 def _cover(length: int):
     """(key, starts, ends, kept) of texts with their runs of repeated windows."""
 
@@ -290,14 +290,18 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     texts = own.dropDuplicates(["key"])
     found = texts.join(wanted, "key").select("key", "text", "pieces")
     found = stored(found.mapInArrow(_slices(length), "hash long, piece_id binary, key binary, start int, windows int, again boolean, occurrence long, piece binary"), "places")
-    shards = found.where("piece is not null").select("hash", "piece_id", "again", "piece").repartition("hash").sortWithinPartitions("hash", "piece_id")
-    runs = stored(shards.mapInArrow(_sort_shards(length, array_bytes, group_bytes), "hash long, piece_id binary, first int, last int, w1 long, w2 long"), "runs")
+    shards = found.where("piece is not null").select("hash", "piece_id", "again", "piece")
+    large = stored(shards.groupBy("hash").agg(F.sum(F.octet_length("piece")).alias("size")).where(F.col("size") > group_bytes).select("hash"), "large-groups")
+    bounded = shards.join(large, "hash", "left_anti").repartition("hash").sortWithinPartitions("hash", "piece_id")
+    runs = stored(bounded.mapInArrow(_sort_shards(length, array_bytes), "hash long, piece_id binary, first int, last int"), "runs")
+    # a group that is large is spread over tasks by its pieces and meets again by window hashes
+    spread = shards.join(large, "hash", "left_semi").dropDuplicates(["hash", "piece_id"]).select("hash", "piece_id", "piece")
+    windows = stored(spread.mapInArrow(_window_hashes(length), "hash long, piece_id binary, at int, w1 long, w2 long"), "windows")
+    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select(F.col("w1").alias("x1"), F.col("w2").alias("x2"))
+    matched = windows.join(twice, (F.col("w1") == F.col("x1")) & (F.col("w2") == F.col("x2"))).select("hash", "piece_id", F.col("at").alias("first"), F.col("at").alias("last"))
     several = found.groupBy("hash", "piece_id").agg(F.min("occurrence").alias("a"), F.max("occurrence").alias("b"), F.min("windows").alias("n")).where("a <> b")
     whole = several.select("hash", "piece_id", F.lit(0).alias("first"), (F.col("n") - 1).alias("last"))
-    open_windows = runs.where("w1 is not null")
-    twice = open_windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select(F.col("w1").alias("x1"), F.col("w2").alias("x2"))
-    matched = open_windows.join(twice, (F.col("w1") == F.col("x1")) & (F.col("w2") == F.col("x2"))).select("hash", "piece_id", "first", "last")
-    repeated = runs.where("w1 is null").select("hash", "piece_id", "first", "last").union(matched).union(whole)
+    repeated = runs.union(matched).union(whole)
     repeated = repeated.select(F.col("hash").alias("r_hash"), F.col("piece_id").alias("r_id"), "first", "last")
     placed = found.select("hash", "piece_id", "key", "start").join(repeated, (F.col("hash") == F.col("r_hash")) & (F.col("piece_id") == F.col("r_id")))
     parts = placed.select("key", F.struct((F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last")).alias("run"))
