@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deskgauge.operators import economics, products, textreview
@@ -48,22 +51,32 @@ _FILES = (
 ).split()
 
 
+def _row_counts(spark, sf, names):
+    """(name, rows) of the files of the given tables."""
+    counts = [table(spark, sf, f).agg(F.lit(f"{f}.parquet").alias("name"), F.count(F.lit(1)).alias("rows")) for f in names]
+    return reduce(DataFrame.union, counts)
+
+
 @query(
     "src3_file_inventory",
-    f"SELECT unnest([{', '.join(repr(f + '.parquet') for f in _FILES)}]) AS name, true AS has_size, false AS content_extracted",
+    " UNION ALL ".join(
+        f"SELECT '{f}.parquet' AS name, true AS has_size, false AS content_extracted, count(*) AS rows FROM {f}" for f in _FILES
+    ),
 )
 def _inventory(spark, sf):
     files = readers.file_inventory(spark, sf, "*.parquet")
-    return files.select("name", (F.col("size_bytes") > 0).alias("has_size"), "content_extracted")
+    listed = files.join(_row_counts(spark, sf, _FILES), "name", "left")
+    return listed.select("name", (F.col("size_bytes") > 0).alias("has_size"), "content_extracted", "rows")
 
 
 @query(
     "src4_check_file_presence",
-    "SELECT unnest(['orders.parquet', 'lineitem.parquet', 'policy.pdf']) AS name, unnest([true, true, false]) AS present",
+    """SELECT 'orders.parquet' AS name, true AS present, count(*) AS rows FROM orders
+       UNION ALL SELECT 'lineitem.parquet', true, count(*) FROM lineitem UNION ALL SELECT 'policy.pdf', false, NULL""",
 )
 def _presence(spark, sf):
     found = readers.check_file_presence(spark, sf, ["orders.parquet", "lineitem.parquet", "policy.pdf"])
-    return found.select("name", "present")
+    return found.join(_row_counts(spark, sf, ("orders", "lineitem")), "name", "left").select("name", "present", "rows")
 
 
 @query("src5_scan_parquet", "SELECT l_returnflag, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY l_returnflag")
