@@ -28,16 +28,24 @@ MAX_BUCKET = 20_000
 LEVELS = 3
 
 
-def _fingerprint(data: bytes, shingle: int) -> int:
+def shingle_hashes(data: bytes, shingle: int) -> np.ndarray:
+    """64-bit hash of each run of ``shingle`` words, in order; fewer words are one shingle, none give an empty array."""
     words = data.lower().split()  # on bytes: A-Z only, and white space is 20 and 09 to 0D
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = memoryview(b" ".join(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     n = max(len(words) - shingle + 1, 1)
     starts = np.concatenate(([0], ends[: n - 1] + 1)).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[-n:].tolist(), strict=True)], np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[-n:].tolist(), strict=True)], np.uint64)
+
+
+def _fingerprint(data: bytes, shingle: int) -> int:
+    hashes = shingle_hashes(data, shingle)
+    n = len(hashes)
+    if not n:
+        return 0
     counts = np.zeros(BITS, np.int64)
     for at in range(0, n, 1 << 16):  # bounded memory for very long texts
         counts += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -75,6 +83,26 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of a stream sorted by its first two, (tab, key), cut so that no bucket goes on in the next part."""
+    held: list[tuple[np.ndarray, ...]] = []  # the last bucket may go on in the next batch
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if held and new[0][-1] == held[0][0][0] and new[1][-1] == held[0][1][0] and new[0][0] == new[0][-1] and new[1][0] == new[1][-1]:
+            held.append(new)
+            continue
+        both = tuple(np.concatenate(x) for x in zip(*held, new, strict=True))
+        cut = np.flatnonzero((both[0] != both[0][-1]) | (both[1] != both[1][-1]))
+        cut = cut[-1] + 1 if len(cut) else 0
+        if cut:
+            yield tuple(x[:cut] for x in both)
+        held = [tuple(x[cut:] for x in both)]
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def _bucket_links(radius: int, limit: int | None):
     """Links of a stream of (tab, key, fp) sorted by (tab, key): in each bucket a spanning forest of its links.
 
@@ -112,22 +140,7 @@ def _bucket_links(radius: int, limit: int | None):
             yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(hot)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []  # the last bucket may go on in the next batch
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            if held and new[0][-1] == held[0][0][0] and new[1][-1] == held[0][1][0] and new[0][0] == new[0][-1] and new[1][0] == new[1][-1]:
-                held.append(new)
-                continue
-            tabs, keys, fps = (np.concatenate([h[i] for h in [*held, new]]) for i in range(3))
-            cut = np.flatnonzero((tabs != tabs[-1]) | (keys != keys[-1]))
-            cut = cut[-1] + 1 if len(cut) else 0
-            if cut:
-                yield from rows(tabs[:cut], keys[:cut], fps[:cut].view(np.uint64))
-            held = [(tabs[cut:], keys[cut:], fps[cut:])]
-        if held:
-            tabs, keys, fps = (np.concatenate([h[i] for h in held]) for i in range(3))
+        for tabs, keys, fps in whole_buckets(batches):
             yield from rows(tabs, keys, fps.view(np.uint64))
 
     return run
@@ -180,7 +193,11 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
 
     Of equal ids the smallest text key stays, of rows with the same id and text one. Null ids come after all others.
     """
-    classes = near_duplicates(docs, text, doc_id, radius, shingle, max_bucket)
+    return keep_first(docs, near_duplicates(docs, text, doc_id, radius, shingle, max_bucket), text, doc_id)
+
+
+def keep_first(docs: DataFrame, classes: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Of each ``root`` of ``classes`` (doc_id, text_key, root) the first document, all columns; see ``drop_near_duplicates``."""
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     kept = stored(classes.groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.doc_id").alias("kept_id"), F.col("best.text_key").alias("kept_key")), "kept")
     key = free_name(docs, "text_key")

@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from tables import CLEAN, awkward, documents, prose
 from tokenizers import Tokenizer
 
-from deskgauge.llm import bpe, common, quality, repeats, simhash, suffixes
+from deskgauge.llm import bpe, common, minhash, quality, repeats, simhash, suffixes
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -177,6 +178,61 @@ def test_one_document_of_each_group_stays(spark):
     assert simhash.drop_near_duplicates(documents(spark, [])).count() == 0
 
 
+def shingles(text: str | None) -> frozenset[str]:
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def similar_groups(rows) -> list[int]:
+    """For each row the first row of its component over brute-force similarities of at least 0.8."""
+    sets = [shingles(t) for _, t, *_ in rows]
+    root = list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if root[i] != root[j] and (x == sets[j] or 5 * len(x & sets[j]) >= 4 * len(x | sets[j])):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def near_copies() -> list[tuple]:
+    """Copies on both sides of 0.8, most of them further apart than 4 bits; a family of one text and a chain."""
+    rng, rows = random.Random(12), awkward()
+    rest = rows[0][5:]
+    for group in range(40):
+        base = prose(100 + group, rng.randint(50, 90)).split()
+        for _ in range(2 if group else 40):
+            words = base.copy()
+            for _ in range(rng.randint(0, 2) if group else rng.randint(0, 3)):
+                words[rng.randrange(len(words))] = f"w{rng.randrange(1000)}"
+            rows.append((1000 + len(rows), " ".join(words), "en", "s0", 1, *rest))
+    chain = prose(99, 400).split()
+    return rows + [(2000 + i, " ".join(chain[10 * i : 10 * i + 200]), "en", "s0", 1, *rest) for i in range(15)]
+
+
+@pytest.mark.parametrize("small", [8, 2])
+def test_near_copies_by_shingles(spark, monkeypatch, small):
+    monkeypatch.setattr(minhash, "SMALL", small)
+    monkeypatch.setattr(minhash, "GROWTH", 2)
+    rows = near_copies()
+    groups = similar_groups(rows)
+    got = minhash.similar_documents(documents(spark, rows)).collect()
+    texts = {hashlib.sha256((t or "").encode()).digest()[:16]: g for (_, t, *_), g in zip(rows, groups, strict=True)}
+    pairs = {(r.root, texts[bytes(r.text_key)]) for r in got}
+    assert len(got) == len(rows) and len(pairs) == len({a for a, _ in pairs}) == len(set(groups))
+
+
+def test_pipeline_drops_near_copies(spark):
+    rows = near_copies()
+    kept = corpus_pipeline.near_duplicates(spark, documents(spark, rows), "")
+    assert kept.columns == documents(spark).columns
+    least: dict[int, tuple] = {}
+    for (i, *_), g in zip(rows, similar_groups(rows), strict=True):
+        least[g] = min(least.get(g, (True, 0)), (i is None, i or 0))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for _, i in least.values())
+    assert corpus_pipeline.near_duplicates(spark, documents(spark, []), "").count() == 0
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(300, 300), (-5, 7)]
     found = {r.node: r.root for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
