@@ -231,6 +231,26 @@ def _fallback(spark, sf):
     return rows.select(*ASSIGNMENT, *_PG4_KEYS.split(), *_PG4.split())
 
 
+# peers count for every assignment and period, also where the agent itself has no eligible ticket for the outcome
+_PG4_ALL_SQL = (
+    ADJUSTED_SQL
+    + f""",
+slice_peers AS (
+  SELECT {', '.join(f't.{k.strip()}' for k in _KEY.split(','))}, a.outcome, sum(a.n) AS n, count(*) AS agents
+  FROM tickets t JOIN agentcell a ON a.lvl = 5 AND a.pool = t.comparison_group AND a.period_type = t.period_type
+    AND a.period = t.period AND a.agent_id <> t.agent_id GROUP BY ALL),
+evidence AS (
+  SELECT t.* REPLACE ({', '.join(f"coalesce(p_{o.name}.n, 0) AS {o.name}_peer_sample_size, coalesce(p_{o.name}.agents, 0) AS {o.name}_distinct_peer_count" for o in OUTCOMES)})
+  FROM adjusted t {' '.join(f"LEFT JOIN slice_peers p_{o.name} ON p_{o.name}.outcome = '{o.name}' AND " + " AND ".join(f"t.{k.strip()} IS NOT DISTINCT FROM p_{o.name}.{k.strip()}" for k in _KEY.split(',')) for o in OUTCOMES)})"""
+)
+
+
+@query("pg4_cell_fallback_evidence_all", with_sql(_PG4_ALL_SQL, f"SELECT {_ASSIGN_SHOWN}, {out(_PG4_KEYS, _PG4)} FROM evidence"))
+def _fallback_all(spark, sf):
+    """Every assignment and period, also those without eligible tickets for some outcome."""
+    return adjusted_table(spark, sf).select(*ASSIGNMENT, *_PG4_KEYS.split(), *_PG4.split())
+
+
 STABILITY_SQL = f"""
 stab AS (
   SELECT {_A}, outcome, count(*) AS qualifying_quarter_count, max(gap) - min(gap) AS quarterly_range,

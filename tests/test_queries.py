@@ -27,6 +27,14 @@ def test_query(spark, con, name):
         assert compare(df, con, sql) is None
 
 
+def test_fallback_evidence_has_every_assignment_and_period(spark):
+    """Also those without eligible tickets for some outcome, as many as the adjusted metrics have."""
+    rows = queries()["pg4_cell_fallback_evidence_all"](spark, SF).collect()
+    assert len(rows) == queries()["pg3_adjusted_agent_metrics"](spark, SF).count()
+    empty = [r for r in rows if not r.csat_eligible_count]
+    assert empty and {r.csat_fallback_level for r in empty} == {"no_supported_peer_cell"}
+
+
 def test_entry(spark):
     df = entry(spark)
     assert len(df.columns) > 10 and df.limit(1).count() == 1
