@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskgauge.llm import ann, bpe, mixing, quality, repeats, rules, secrets, simhash, urls, warc
+from deskgauge.llm import ann, bpe, mixing, quality, repeats, rules, secrets, simhash, tries, urls, warc
 from deskgauge.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,3 +175,16 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_nearest_vectors")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@_query(
+    "op12_exact_copies",
+    """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY t)
+""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.copies(table(spark, sf_dir, "documents"), keep="largest")
