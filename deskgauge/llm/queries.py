@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskgauge.llm import ann, bpe, mixing, quality, repeats, rules, secrets, simhash, tries, urls, warc
+from deskgauge.llm import ann, bpe, conversations, mixing, quality, repeats, rules, secrets, simhash, tries, urls, warc
 from deskgauge.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,3 +188,44 @@ FROM t WINDOW w AS (PARTITION BY t)
 )
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.copies(table(spark, sf_dir, "documents"), keep="largest")
+
+
+_CRC32 = (
+    "xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), "
+    "lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, i: xor(x >> 1, (x & 1) * 3988292384::BIGINT))))"
+)
+
+
+@_query(
+    "op13_conversation_trie",
+    f"""
+WITH t AS (
+  SELECT conv_id, turn, md5(length(r)::VARCHAR || ':' || r || x) AS d, len(list_filter(string_split_regex(x, '[ \\t-\\r]+'), lambda w: w <> '')) AS words
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)
+), o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, d) AS pos FROM t),
+ids AS (SELECT conv_id, {_CRC32} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+both_parts AS (
+  SELECT ids.conv_id, 0 AS part, pos, d, words FROM ids JOIN o ON o.conv_id = ids.conv_id - ids.conv_id % 20 AND pos <= h
+  UNION ALL SELECT conv_id, 1, pos, d, words FROM ids JOIN o USING (conv_id) WHERE pos > h
+), s AS (SELECT conv_id, d, words, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth FROM both_parts),
+p AS (
+  SELECT conv_id, depth, words, string_agg(d, '') OVER (PARTITION BY conv_id ORDER BY depth) AS prefix FROM s
+  UNION ALL SELECT conv_id, 0, 0, '' FROM ids
+), node AS (SELECT prefix, min(conv_id) AS conv_id, any_value(depth) AS depth, any_value(words) AS words, count(*) AS n_convs FROM p GROUP BY prefix),
+kids AS (SELECT prefix[:-33] AS prefix, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY ALL),
+own AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (prefix)),
+sums AS (
+  SELECT prefix[1:32 * k] AS prefix, sum((n_children = 0)::INT) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+  FROM (SELECT *, unnest(range(depth + 1)) AS k FROM own) GROUP BY ALL
+), ends AS (
+  SELECT prefix, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256
+  FROM (SELECT conv_id, prefix FROM p QUALIFY depth = max(depth) OVER (PARTITION BY conv_id)) GROUP BY prefix
+)
+SELECT own.conv_id, own.depth, up.conv_id AS parent_conv_id, own.n_convs, own.n_children, n_leaves::BIGINT AS n_leaves,
+       saved_tokens::BIGINT AS saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM own JOIN sums USING (prefix) LEFT JOIN ends USING (prefix) LEFT JOIN own AS up ON own.depth > 0 AND up.prefix = own.prefix[:-33]
+""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = conversations.digested(table(spark, sf_dir, "conversations"))
+    return conversations.prefix_tree(conversations.with_lent_beginnings(own))

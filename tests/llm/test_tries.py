@@ -34,7 +34,7 @@ def some_texts(seed):
 
 
 @pytest.mark.parametrize("keep", ["smallest", "largest"])
-@pytest.mark.parametrize("size", [1 << 25, 4000])
+@pytest.mark.parametrize("size", [1 << 25, 30_000])
 def test_copies_equal_brute_force(spark, keep, size):
     rows = some_texts(3) + [(r[0], r[1]) for r in awkward()]
     docs = documents(spark, [(i, t, "en", "s", 1, *EXTRA) for i, t in rows])
@@ -44,7 +44,7 @@ def test_copies_equal_brute_force(spark, keep, size):
 
 def test_one_branch_from_the_root_is_divided_too(spark):
     rows = [(n, "same start " + t) for n, (_, t) in enumerate(some_texts(5)[:600])]
-    got = Counter(map(tuple, tries.copies(documents(spark, [(i, t, "en", "s", 1, *EXTRA) for i, t in rows]), local_bytes=9000, owner_bytes=9000).collect()))
+    got = Counter(map(tuple, tries.copies(documents(spark, [(i, t, "en", "s", 1, *EXTRA) for i, t in rows]), local_bytes=20_000, owner_bytes=20_000).collect()))
     assert got == brute(rows, False)
 
 
