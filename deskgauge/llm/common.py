@@ -28,6 +28,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Generations:
+    """Tables of which each is made from the one before: when the next is written, the one before it is deleted."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.folder, self.last = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", None
+        self.number = 0
+
+    def store(self, df: DataFrame) -> DataFrame:
+        """Write a table that reads at most the last one stored here."""
+        path = f"{self.folder}/{self.number}"
+        df.write.parquet(path)
+        if self.last:
+            delete_folder(self.spark, self.last)
+        self.last, self.number = path, self.number + 1
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote, in whatever file system it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

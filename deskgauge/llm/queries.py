@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskgauge.llm import ann, bpe, conversations, mixing, quality, repeats, rules, secrets, simhash, tries, urls, warc
+from deskgauge.llm import ann, bpe, centroids, conversations, mixing, quality, repeats, rules, secrets, simhash, tries, urls, warc
 from deskgauge.llm.common import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -229,3 +229,33 @@ FROM own JOIN sums USING (prefix) LEFT JOIN ends USING (prefix) LEFT JOIN own AS
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = conversations.digested(table(spark, sf_dir, "conversations"))
     return conversations.prefix_tree(conversations.with_lent_beginnings(own))
+
+
+def _clusters_sql() -> str:
+    """Rounds of assignment and floored means, one after the other."""
+    d = "list_sum(list_transform(list_zip(q, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+    near = "SELECT vec_id, any_value(q) AS q, arg_min(k, d * 8 + k) AS cluster, min(d) AS distance FROM (SELECT n, vec_id, q, k, {d}::HUGEINT AS d FROM v, c{r}) GROUP BY n, vec_id"
+    steps = []
+    for r in range(centroids.ROUNDS + 1):
+        steps.append(f"a{r} AS MATERIALIZED ({near.format(d=d, r=r)})")
+        if r < centroids.ROUNDS:
+            steps.append(
+                f"c{r + 1} AS MATERIALIZED (SELECT k, coalesce(m, c) AS c FROM c{r} LEFT JOIN (SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS m FROM "
+                f"(SELECT cluster, i, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(q) AS x, unnest(range(64)) AS i FROM a{r}) GROUP BY ALL) GROUP BY cluster) ON cluster = k)"
+            )
+    last = centroids.ROUNDS
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor({centroids.SCALE} * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = {centroids.DIMENSIONS} AND len(list_filter(embedding, lambda x: isfinite(x))) = {centroids.DIMENSIONS}
+), c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{centroids.SEED}:' || vec_id), q) - 1 AS k, q AS c FROM v QUALIFY k < {centroids.CLUSTERS}),
+{', '.join(steps)}
+SELECT vec_id, cluster::INT AS cluster, distance::BIGINT AS distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+       (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{last} JOIN c{last} ON cluster = k
+"""
+
+
+@_query("op11_centroid_clusters", _clusters_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))
