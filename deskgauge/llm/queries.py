@@ -77,20 +77,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     _RULES_BASE
     + f"""
 , line AS (
-  SELECT source, md5(text) AS h, lower(trim(regexp_replace(x, '[ \\t-\\r]+', ' ', 'g'))) AS x, len(list_filter(string_split_regex(x, '[ \\t-\\r]+'), lambda y: y <> '')) AS k
-  FROM (SELECT source, text, unnest(l) AS x FROM t JOIN w USING (n))
-), many AS (SELECT source, x, count(DISTINCT h) AS c FROM line GROUP BY ALL
-), hosts AS (SELECT source, count(DISTINCT md5(text)) AS c FROM t GROUP BY ALL
+  SELECT n, source, lower(trim(regexp_replace(x, '[ \\t-\\r]+', ' ', 'g'))) AS x, len(list_filter(string_split_regex(x, '[ \\t-\\r]+'), lambda y: y <> '')) AS k
+  FROM (SELECT n, source, unnest(l) AS x FROM t JOIN w USING (n))
+), many AS (SELECT source, x, count(DISTINCT n) AS c FROM line GROUP BY ALL
+), hosts AS (SELECT source, count(*) AS c FROM t GROUP BY ALL
 ), bad AS (SELECT many.source, x FROM many JOIN hosts ON many.source IS NOT DISTINCT FROM hosts.source WHERE many.c > greatest({rules.MIN_DOCS}, {rules.MIN_SHARE} * hosts.c)
-), copies AS (SELECT source, md5(text) AS h, count(*) AS c FROM t GROUP BY ALL
-), gone AS (
-  SELECT line.source, line.h, sum(k) // any_value(copies.c) AS n_removed_words
-  FROM line JOIN bad ON line.source IS NOT DISTINCT FROM bad.source AND line.x = bad.x
-  JOIN copies ON line.source IS NOT DISTINCT FROM copies.source AND line.h = copies.h GROUP BY ALL
+), gone AS (SELECT n, sum(k) AS n_removed_words FROM line JOIN bad ON line.source IS NOT DISTINCT FROM bad.source AND line.x = bad.x GROUP BY n
 ), judged AS (
   SELECT doc_id, n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, n_symbols, n_dup_lines, n_repeat_words,
          n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.MAX_REPEAT_PERCENT} * n_words AS base_failed, coalesce(n_removed_words, 0)::BIGINT AS n_removed_words
-  FROM base LEFT JOIN gone ON base.source IS NOT DISTINCT FROM gone.source AND md5(base.text) = gone.h
+  FROM base LEFT JOIN gone USING (n)
 )
 SELECT *, NOT base_failed AND n_words - n_removed_words >= {rules.MIN_LEFT} * n_words AS kept FROM judged
 """,

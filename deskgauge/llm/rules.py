@@ -1,7 +1,7 @@
 """Quality rules: counts of each text, and boilerplate lines found by their frequency within a host.
 
-Normalised lines are hashed together with their host, distinct texts are counted per line, lines above the limit are
-removed, and documents of which too little is left are rejected. Only Spark's own functions run here.
+Normalised lines are hashed together with their host inside their row, documents are counted per line, lines above the limit
+are removed, and documents of which too little is left are rejected. Texts are split once. Only Spark's own functions run here.
 """
 
 from __future__ import annotations
@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deskgauge.llm.common import free_name, text_or_empty
+from deskgauge.llm.common import stored
 
 WHITE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A line is boilerplate in more distinct texts of its host than this number and this share of the host's texts.
+#: A line is boilerplate in more documents of its host than this number and this share of the host's documents.
 MIN_DOCS, MIN_SHARE = 20, 0.02
 #: Share of the words that must be left.
 MIN_LEFT = 0.3
@@ -29,29 +29,27 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
-def _normal(line: Column) -> Column:
-    return F.lower(F.regexp_replace(F.btrim(line, F.lit(WHITE)), r"[\x20\x09-\x0D]+", " "))
+def _line_hash(host: Column, words: Column) -> Column:
+    """64 bits of a line within its host, without regard to case and white space. Two lines that share them only add up their
+    counts, which matters for none that is rare."""
+    return F.xxhash64(F.coalesce(host, F.lit("")), host.isNull(), F.lower(F.array_join(words, " ")))
 
 
-def _line_hash(host: Column, line: Column) -> Column:
-    """64 bits: two lines that share one only add up their counts, which matters for none that is rare."""
-    return F.xxhash64(F.coalesce(host, F.lit("")), host.isNull(), _normal(line))
+def _line_list(host: Column, lines: Column) -> Column:
+    """array<struct<line, words>>: hash and number of words of each line."""
+    return F.transform(F.transform(lines, _words), lambda w: F.struct(_line_hash(host, w).alias("line"), F.size(w).cast("long").alias("words")))
 
 
-def _document_key(host: Column, text: Column) -> Column:
-    """128 bits for a text within its host."""
-    return F.substring(F.unhex(F.sha2(F.concat(F.coalesce(host, F.lit("")), F.when(host.isNull(), F.lit("\n")).otherwise(F.lit("\r\n")), text), 256)), 1, 16)
-
-
-def text_counts(docs: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
-    """``keep`` and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed. A null text has no words.
+def text_counts(docs: DataFrame, text: Column, keep: list[Column], host: Column) -> DataFrame:
+    """``keep``, lines (see ``_line_list``), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed. A null text has
+    no words.
 
     Repeated three-word windows are found inside the row: window hashes are sorted with their positions, equal neighbours are
     marked, and the marked positions cover up to three words each. No window leaves its row, so nothing is shuffled.
     """
     names = [f"k{i}" for i in range(len(keep))]
     kept = [c.alias(n) for c, n in zip(keep, names, strict=True)]
-    step = docs.select(*kept, F.coalesce(text, F.lit("")).alias("t"))
+    step = docs.select(*kept, host.alias("host"), F.coalesce(text, F.lit("")).alias("t"))
     without = F.translate("t", WHITE, "")
     step = step.select(
         *names,
@@ -59,16 +57,18 @@ def text_counts(docs: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
         F.length(without).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         _lines(F.col("t")).alias("l"),
+        "host",
     )
     names += ["word_chars", "n_symbols"]
     step = step.select(
         *names,
+        _line_list(F.col("host"), F.col("l")).alias("lines"),
         F.size("w").cast("long").alias("n_words"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
         F.when(F.size("w") >= 3, F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))).alias("h"),
     )
-    names += ["n_words", "n_dup_lines"]
-    step = step.select(*names, F.when(F.size(F.array_distinct("h")) < F.size("h"), F.array_sort(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("s"))
+    names += ["lines", "n_words", "n_dup_lines"]
+    step = step.select(*names, F.when(F.size(F.array_distinct("h")) < F.size("h"), F.sort_array(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("s"))
     same = lambda x, i: x.h.eqNullSafe(F.get("s", i)["h"])
     marked = F.filter("s", lambda x, i: F.when(i > 0, same(x, i - 1)).otherwise(False) | same(x, i + 1))
     step = step.select(*names, F.sort_array(F.transform(marked, lambda x: x.i)).alias("p"))
@@ -81,47 +81,55 @@ def text_counts(docs: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
     return step.select(F.inline(F.array(F.struct(*names, "n_repeat_words", failed.alias("base_failed")))))
 
 
-def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """(key, line, words): for each text within its host the hashes of its lines above the limit and their number of words.
+def frequent_lines(counted: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+    """(line): hashes of the lines that stand in more than ``min_docs`` documents of their host and in more than ``min_share`` of them.
 
-    A line counts once for each distinct text of its host, so exact copies don't add up; rows without a host are one host.
-    ``words`` is summed over the copies of a text; ``copies`` is their number. Both counts are pre-aggregated, so a line that
-    most documents hold is no hot group.
+    ``counted``: host and lines, one row per document; a document counts once for each of its lines, and copies of a text are
+    documents of their own. Rows without a host are one host. Counts are pre-aggregated, so a line of most documents is no hot group.
     """
-    key, own = _document_key(F.col(host), text_or_empty(text)), F.xxhash64(F.coalesce(F.col(host), F.lit("")), F.col(host).isNull())
-    texts = docs.select(own.alias("host"), key.alias("key")).groupBy("host", "key").agg(F.count("*").alias("copies"))
-    limits = texts.groupBy("host").agg(F.greatest(F.lit(float(min_docs)), F.count("*") * F.lit(min_share)).alias("most"))
-    lines = docs.select(own.alias("host"), key.alias("key"), F.explode(_lines(text_or_empty(text))).alias("x"), F.col(host).alias("h"))
-    lines = lines.select("host", "key", _line_hash(F.col("h"), F.col("x")).alias("line"), F.size(_words(F.col("x"))).alias("n"))
-    lines = lines.groupBy("host", "key", "line").agg(F.sum("n").alias("words"))
-    above = lines.groupBy("host", "line").agg(F.count("*").alias("texts")).where(F.col("texts") > min_docs)
-    above = above.join(limits, "host").where("texts > most").select("line")
-    found = lines.join(above, "line").select("key", "line", "words")
-    return found.join(texts.select("key", "copies"), "key").select("key", "line", (F.col("words") / F.col("copies")).cast("long").alias("words"))
+    limits = counted.groupBy("host").agg(F.greatest(F.lit(float(min_docs)), F.count("*") * F.lit(min_share)).alias("most"))
+    lines = counted.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
+    above = lines.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs)
+    matched = above.withColumnRenamed("host", "own").join(limits, F.col("own").eqNullSafe(F.col("host")))
+    return matched.where("docs > most").select(F.col("line").alias("bad"))
+
+
+def _counted(docs: DataFrame, text: str, host: str, keep: list[Column]) -> DataFrame:
+    """``text_counts`` written once, with the host and a number for each document: all later steps read it instead of the texts."""
+    found = text_counts(docs, F.col(text), [F.col(host).cast("string"), *keep], F.col(host).cast("string")).withColumnRenamed("k0", "host")
+    return stored(found.withColumn("number", F.monotonically_increasing_id()), "line-counts")
+
+
+def _removed(counted: DataFrame, **limits) -> DataFrame:
+    """(of, cut, gone): for each document with lines above the limit the number of their words and their hashes."""
+    lines = counted.select("number", F.inline("lines")).join(frequent_lines(counted, **limits), F.col("line") == F.col("bad"))
+    return lines.groupBy(F.col("number").alias("of")).agg(F.sum("words").alias("cut"), F.collect_set("line").alias("gone"))
+
+
+def _judgement(min_left: float) -> Column:
+    return ~F.col("base_failed") & (F.col("n_words") - F.coalesce("cut", F.lit(0)) >= min_left * F.col("n_words"))
 
 
 def judged(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str = "doc_id", min_left: float = MIN_LEFT, **limits) -> DataFrame:
     """One row per document: doc_id, n_words, the counts of ``text_counts``, n_removed_words and kept.
 
     A document is kept if the base rules pass and ``min_left`` of its words stand in lines that stay. Null texts and texts
-    without words fail; equal rows get equal rows; other columns are not read.
+    without words fail; repeated rows are documents of their own; other columns are not read.
     """
-    counts = text_counts(docs, F.col(text), [F.col(doc_id), _document_key(F.col(host), text_or_empty(text))]).withColumnsRenamed({"k0": "doc_id", "k1": "key"})
-    removed = frequent_lines(docs, text, host, **limits).groupBy("key").agg(F.sum("words").alias("n_removed_words"))
-    out = counts.join(removed, "key", "left").drop("key").fillna(0, ["n_removed_words"])
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_removed_words") >= min_left * F.col("n_words")))
+    counted = _counted(docs, text, host, [F.col(doc_id)])
+    out = counted.join(_removed(counted, **limits), F.col("number") == F.col("of"), "left")
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    return out.select(F.col("k1").alias("doc_id"), *counts, F.coalesce("cut", F.lit(0)).alias("n_removed_words"), _judgement(min_left).alias("kept"))
 
 
 def apply_rules(docs: DataFrame, text: str = "text", host: str = "source", min_left: float = MIN_LEFT, length: str | None = "n_chars", **limits) -> DataFrame:
     """The documents that ``judged`` keeps, all columns, without their lines above the limit; ``length`` follows the text."""
-    key, gone = free_name(docs, "key"), free_name(docs, "gone")
-    own = _document_key(F.col(host), text_or_empty(text))
-    base = text_counts(docs, F.col(text), [own]).where("not base_failed").groupBy("k0").agg(F.first("n_words").alias("n_words"))
-    found = frequent_lines(docs, text, host, **limits).groupBy("key").agg(F.sum("words").alias("cut"), F.collect_set("line").alias(gone)).withColumnRenamed("key", "k1")
-    kept = base.join(found, F.col("k0") == F.col("k1"), "left").where(F.col("cut").isNull() | (F.col("n_words") - F.col("cut") >= min_left * F.col("n_words"))).select(F.col("k0").alias(f"{key}_0"), gone)
-    out = docs.withColumn(key, own).join(kept, F.col(key) == F.col(f"{key}_0"))
-    stay = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~x.rlike(r"[^\x20\x09-\x0D]") | ~F.array_contains(gone, _line_hash(F.col(host), x))), "\n")
-    out = out.withColumn(text, F.when(F.col(gone).isNull(), F.col(text)).otherwise(stay))
+    counted = _counted(docs, text, host, [F.col(f"`{c}`") for c in docs.columns])
+    out = counted.where("not base_failed").join(_removed(counted, **limits), F.col("number") == F.col("of"), "left").where(_judgement(min_left))
+    own = {c: F.col(f"k{i + 1}") for i, c in enumerate(docs.columns)}
+    stay = F.array_join(F.filter(F.split(own[text], "\n"), lambda x: ~x.rlike(r"[^\x20\x09-\x0D]") | ~F.array_contains("gone", _line_hash(F.col("host"), _words(x)))), "\n")
+    changed = F.col("gone").isNotNull()
+    new = {text: F.when(changed, stay).otherwise(own[text])}
     if length in docs.columns:
-        out = out.withColumn(length, F.when(F.col(gone).isNull(), F.col(length)).otherwise(F.length(text).cast(docs.schema[length].dataType)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        new[length] = F.when(changed, F.length(stay).cast(docs.schema[length].dataType)).otherwise(own[length])
+    return out.select(*[new.get(c, own[c]).alias(c) for c in docs.columns])
