@@ -223,7 +223,7 @@ FROM own JOIN sums USING (prefix) LEFT JOIN ends USING (prefix) LEFT JOIN own AS
 """,
 )
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = conversations.digested(table(spark, sf_dir, "conversations"))
+    own = stored(conversations.digested(table(spark, sf_dir, "conversations")), "turns")
     return conversations.prefix_tree(conversations.with_lent_beginnings(own))
 
 

@@ -14,7 +14,7 @@ import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from tables import CLEAN, awkward, documents, prose
+from tables import CLEAN, EXTRA, awkward, documents, prose
 from tokenizers import Tokenizer
 
 from deskgauge.llm import bpe, common, minhash, quality, repeats, simhash, suffixes
@@ -222,6 +222,33 @@ def test_near_copies_by_shingles(spark, monkeypatch, small):
     assert len(got) == len(rows) and len(pairs) == len({a for a, _ in pairs}) == len(set(groups))
 
 
+def test_loosely_similar_texts_make_few_candidates(spark, monkeypatch):
+    """2,000 texts that share about 0.5 to 0.7 of their shingles with each other, and none 0.8."""
+    rng = random.Random(5)
+    base = prose(1, 300).split()
+    rows = []
+    for i in range(2000):
+        words = base.copy()
+        for at in rng.sample(range(300), rng.randint(7, 10)):
+            words[at] = f"w{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words), "en", "s0", 1, *EXTRA))
+    made = Counter()
+
+    def counted(df, name):
+        out = common.stored(df, name)
+        if name == "candidates":
+            made[name] += out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "stored", counted)
+    found = minhash.similar_documents(documents(spark, rows))
+    assert made["candidates"] < 20 * 2000, made
+    sets = [shingles(r[1]) for r in rows[:60]]
+    similar = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i]]
+    assert 0.4 < min(similar) and sum(0.5 < x < 0.7 for x in similar) > 0.9 * len(similar)
+    assert found.select("root").distinct().count() > 1900
+
+
 def test_pipeline_drops_near_copies(spark):
     rows = near_copies()
     kept = corpus_pipeline.near_duplicates(spark, documents(spark, rows), "")
