@@ -216,116 +216,99 @@ def attach_peer_groups(tickets: DataFrame, peer_groups: DataFrame) -> DataFrame:
 
 
 # --- repeat contacts ----------------------------------------------------------------------------------------------
-def detect_repeat_contacts(
-    tickets: DataFrame, window_days: int = 30, block_hours: int = 24, id_col: str = "ticket_id"
-) -> DataFrame:
-    """Latest earlier resolution of the same customer and order (or product) within ``window_days`` before creation.
+REPEAT_COLUMNS = ("candidate_flag", "prior_ticket_id", "match_method", "candidate_reason")
 
-    The as-of lookup is an ordered scan over creations and resolutions. It runs per (key, time block) rather than per
-    key, so a key holding a large part of all tickets is spread over its blocks: each block first learns the last
-    resolutions of earlier blocks (at most two per block are kept for that), then is scanned on its own. A ticket is
-    never its own predecessor.
-    """
-    if window_days <= 0:
-        raise ValueError(f"window_days is {window_days}, needs 1 or more")
+
+def _contact_keys(tickets: DataFrame, id_col: str) -> list[Column]:
+    """id, k1 (customer), k2 (method), k3 (order or product), created: what a ticket's match depends on."""
     blank = lambda c: F.nullif(F.col(c), F.lit(""))
-    order, sku, customer = blank("order_id"), blank("product_sku"), blank("customer_id")
+    order, sku = blank("order_id"), blank("product_sku")
     method = F.when(order.isNotNull(), "customer_order_id").when(sku.isNotNull(), "customer_product_sku_fallback")
-    created, resolved = F.col("created_at").cast("timestamp"), F.col("resolved_at").cast("timestamp")
-    span = block_hours * 3600 * 1000000
-
-    def block(ts: Column) -> Column:
-        return F.floor(F.unix_micros(ts) / F.lit(span)).cast("bigint")
-
-    base = tickets.select(
-        F.struct(*tickets.columns).alias("payload"),
+    return [
         F.col(id_col).cast("string").alias("id"),
-        customer.alias("k1"),
+        blank("customer_id").cast("string").alias("k1"),
         method.alias("k2"),
-        F.coalesce(order, sku).alias("k3"),
-        created.alias("created"),
-        resolved.alias("resolved"),
-    )
-    keyed = F.col("k1").isNotNull() & F.col("k2").isNotNull()
-    key = ["k1", "k2", "k3"]
-    prior = F.struct(F.col("resolved").alias("at"), F.col("id").alias("id"))
-    prior_type = "struct<at:timestamp,id:string>"
+        F.coalesce(order, sku).cast("string").alias("k3"),
+        F.col("created_at").cast("timestamp").alias("created"),
+    ]
 
-    resolutions = base.filter(keyed & F.col("resolved").isNotNull()).select(
-        *key, block(F.col("resolved")).alias("block"), prior.alias("res")
-    )
-    contacts = base.filter(keyed & F.col("created").isNotNull()).select(
-        *key, block(F.col("created")).alias("block"), "created", "id", "payload"
-    )
 
-    # what each block inherits: the last resolution before it, and the one before that
-    in_block = Window.partitionBy(*key, "block").orderBy(F.col("res").desc())
-    top = resolutions.withColumn("rn", F.row_number().over(in_block)).filter("rn <= 2").drop("rn")
-    along = Window.partitionBy(*key).orderBy("block", F.col("res").asc_nulls_first())
-    starts = contacts.select(*key, "block").distinct().withColumn("res", F.lit(None).cast(prior_type))
-    chained = top.unionByName(starts).withColumn(
-        "link",
-        F.when(
-            F.col("res").isNotNull(),
-            F.struct("res", F.last("res", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("prev")),
-        ),
-    )
-    inherited = (
-        chained.withColumn(
-            "carry", F.last("link", True).over(along.rowsBetween(Window.unboundedPreceding, -1))
-        )
-        .filter("res is null and carry is not null")
-        .select(*key, "block", F.col("carry.res").alias("res"), F.col("carry.prev").alias("carried"))
-    )
+def _repeat_matches(tickets: DataFrame, window_days: int, block_hours: int, id_col: str) -> DataFrame:
+    """id, k1, k2, k3, created and the four result columns, one row per ticket.
 
-    payload_type = contacts.schema["payload"].dataType
-    none = lambda t: F.lit(None).cast(t)
-    events = (
-        inherited.select(*key, "block", F.lit(-1).alias("kind"), none("timestamp").alias("at"), "res", "carried",
-                         none("string").alias("id"), none(payload_type).alias("payload"))
-        .unionByName(
-            resolutions.select(*key, "block", F.lit(1).alias("kind"), F.col("res.at").alias("at"), "res",
-                               none(prior_type).alias("carried"), none("string").alias("id"),
-                               none(payload_type).alias("payload"))
-        )
-        .unionByName(
-            contacts.select(*key, "block", F.lit(0).alias("kind"), F.col("created").alias("at"),
-                            none(prior_type).alias("res"), none(prior_type).alias("carried"), "id", "payload")
-        )
-    )
+    A segmented prefix scan: each ticket becomes its creation and its resolution by one explode, and these few columns are
+    sorted by (key, time block). The last row of each block holds the block's last two resolutions; only these rows meet along a
+    key, learn what earlier blocks leave behind, and hand it down to their block. So there is one scan of the input, three
+    exchanges, no join, and a key that holds a large part of all tickets is spread over its blocks. Two resolutions are
+    handed on because a ticket is never its own predecessor.
+    """
+    if window_days <= 0:
+        raise ValueError(f"window_days is {window_days}, needs 1 or more")
+    base = tickets.select(*_contact_keys(tickets, id_col), F.col("resolved_at").cast("timestamp").alias("resolved"))
+    keyed = F.col("k1").isNotNull() & F.col("k2").isNotNull()
+    span = block_hours * 3600 * 1000000
+    block = lambda ts: F.floor(F.unix_micros(ts) / F.lit(span)).cast("bigint")
+    # tickets without a key or creation match nothing and pass through, dealt out by id
+    apart = F.pmod(F.xxhash64("id", "created"), F.lit(4096)).cast("bigint")
+    linked = keyed & F.col("created").isNotNull()
+    own = F.struct(F.when(linked, 0).otherwise(2).alias("kind"), F.col("created").alias("at"), F.when(linked, block(F.col("created"))).otherwise(apart).alias("block"))
+    ending = F.when(keyed & F.col("resolved").isNotNull(), F.struct(F.lit(1).alias("kind"), F.col("resolved").alias("at"), block(F.col("resolved")).alias("block")))
+    events = base.select("id", "k1", "k2", "k3", "created", F.explode(F.array_compact(F.array(own, ending))).alias("e")).select("id", "k1", "k2", "k3", "created", "e.*")
+
+    key = ["k1", "k2", "k3"]
+    inside = Window.partitionBy(*key, "block").orderBy(F.col("at").asc_nulls_first(), "kind", F.col("id").asc_nulls_first())
+    earlier, so_far = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(Window.unboundedPreceding, 0)
+    seen = events.withColumn("res", F.when(F.col("kind") == 1, F.struct("at", "id")))
     # creations sort before resolutions of the same instant, so equal times do not match
-    scan = (
-        Window.partitionBy(*key, "block")
-        .orderBy(F.col("at").asc_nulls_first(), "kind", F.col("res").asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    seen = events.withColumn("before", F.last("res", True).over(scan)).withColumn(
-        "step", F.when(F.col("res").isNotNull(), F.struct("res", F.coalesce("carried", "before").alias("prev")))
-    )
-    matched = seen.withColumn("last", F.last("step", True).over(scan)).filter("kind = 0")
-    best = F.when(F.col("last.res.id") == F.col("id"), F.col("last.prev")).otherwise(F.col("last.res"))
-    hit = F.coalesce(
-        F.unix_micros(F.col("at")) - F.unix_micros(best["at"]) <= F.lit(window_days * 86400 * 1000000), F.lit(False)
-    )
-    found = matched.select(
-        "payload.*",
-        hit.alias("repeat_contact_candidate_flag"),
-        F.when(hit, best["id"]).alias("repeat_contact_prior_ticket_id"),
-        F.when(hit, F.col("k2")).alias("repeat_contact_match_method"),
-        F.when(hit, f"same_customer_issue_proxy_within_{window_days}_days")
-        .otherwise("no_qualifying_prior_contact")
-        .alias("repeat_contact_candidate_reason"),
-    )
-    rest = base.filter(~(keyed & F.col("created").isNotNull())).select(
-        "payload.*",
-        F.lit(False).alias("repeat_contact_candidate_flag"),
-        none("string").alias("repeat_contact_prior_ticket_id"),
-        none("string").alias("repeat_contact_match_method"),
+    seen = seen.withColumn("previous", F.last("res", True).over(earlier)).withColumn("closes", F.lead("kind").over(inside).isNull())
+    seen = seen.withColumn("two", F.last(F.when(F.col("res").isNotNull(), F.struct(F.col("res").alias("one"), F.col("previous").alias("other"))), True).over(so_far))
+
+    seen = seen.withColumn("lane", F.when(~F.col("closes"), F.col("block")))
+    along = Window.partitionBy(*key, "lane").orderBy("block")
+    past = along.rowsBetween(Window.unboundedPreceding, -1)
+    left = seen.withColumn("older", F.last("two.one", True).over(past))
+    handed = F.when(F.col("two").isNotNull(), F.struct(F.col("two.one").alias("one"), F.coalesce("two.other", "older").alias("other")))
+    left = left.withColumn("carry", F.when(F.col("closes"), F.last(handed, True).over(past)))
+
+    whole = Window.partitionBy(*key, "block")
+    known = left.where((F.col("kind") != 1) | F.col("closes")).withColumn("carry", F.max("carry").over(whole)).where("kind <> 1")
+    first = F.coalesce("two.one", "carry.one")
+    second = F.when(F.col("two").isNull(), F.col("carry.other")).otherwise(F.coalesce("two.other", "carry.one"))
+    best = F.when(F.coalesce(first["id"] == F.col("id"), F.lit(False)), second).otherwise(first)
+    found = known.select("id", *key, "created", "kind", best.alias("best"))
+    near = F.unix_micros("created") - F.unix_micros("best.at") <= F.lit(window_days * 86400 * 1000000)
+    hit = (F.col("kind") == 0) & F.coalesce(near, F.lit(False))
+    reason = (
         F.when(F.col("created").isNull() | F.col("k1").isNull(), "missing_created_at_or_customer_id")
-        .otherwise("missing_order_and_product_sku")
-        .alias("repeat_contact_candidate_reason"),
+        .when(F.col("k2").isNull(), "missing_order_and_product_sku")
+        .when(hit, f"same_customer_issue_proxy_within_{window_days}_days")
+        .otherwise("no_qualifying_prior_contact")
     )
-    return found.unionByName(rest)
+    results = (hit, F.when(hit, F.col("best.id")), F.when(hit, F.col("k2")), reason)
+    return found.select("id", *key, "created", *[r.alias(f"repeat_contact_{n}") for n, r in zip(REPEAT_COLUMNS, results, strict=True)])
+
+
+def repeat_contact_flags(tickets: DataFrame, window_days: int = 30, block_hours: int = 24, id_col: str = "ticket_id") -> DataFrame:
+    """The result columns of ``detect_repeat_contacts`` by ticket id only, one row per ticket."""
+    found = _repeat_matches(tickets, window_days, block_hours, id_col)
+    return found.select(F.col("id").cast(tickets.schema[id_col].dataType).alias(id_col), *[f"repeat_contact_{n}" for n in REPEAT_COLUMNS])
+
+
+def detect_repeat_contacts(
+    tickets: DataFrame, window_days: int = 30, block_hours: int = 24, id_col: str = "ticket_id"
+) -> DataFrame:
+    """Latest earlier resolution of the same customer and order (or product) within ``window_days`` before creation.
+
+    Only ids, keys and times go through the scan (see ``_repeat_matches``); the other columns are joined back. A ticket is never its
+    own predecessor; rows that agree in id, key and creation have the same match.
+    """
+    keys = ("id", "k1", "k2", "k3", "created")
+    found = _repeat_matches(tickets, window_days, block_hours, id_col).dropDuplicates(list(keys))
+    found = found.withColumnsRenamed({k: f"__match_{k}" for k in keys})
+    asked = tickets.select("*", *[c.alias(f"__own_{k}") for k, c in zip(keys, _contact_keys(tickets, id_col), strict=True)])
+    same = [asked[f"__own_{k}"].eqNullSafe(found[f"__match_{k}"]) for k in keys]
+    out = asked.join(found, same, "left")
+    return out.select(*[asked[f"`{c}`"] for c in tickets.columns], *[f"repeat_contact_{n}" for n in REPEAT_COLUMNS])
 
 
 # --- overlays -----------------------------------------------------------------------------------------------------

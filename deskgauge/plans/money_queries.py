@@ -196,7 +196,7 @@ _REPEAT = (
     ),
 )
 def _repeat(spark, sf):
-    return link.detect_repeat_contacts(event_tickets(spark, sf), 7).select(*_REPEAT.split())
+    return link.repeat_contact_flags(event_tickets(spark, sf), 7)
 
 
 # --- economics ----------------------------------------------------------------------------------------------------

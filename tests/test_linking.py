@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,6 +108,41 @@ def test_one_hot_key_is_spread_over_blocks(spark):
     assert all(p == (str(int(t) - 2) if int(t) >= 2 else None) for t, p in rows)
 
 
+def test_repeat_contacts_equal_a_plain_scan(spark):
+    """Random contacts with ties, own resolutions before creation, null times and ids, against every pair."""
+    rng = random.Random(7)
+    at = lambda h: T(2025, 1, 1) + dt.timedelta(hours=h)
+    rows = []
+    for i in range(700):
+        created = None if rng.random() < 0.05 else at(rng.randint(0, 900))
+        resolved = None if rng.random() < 0.2 else at(rng.randint(0, 900))
+        rows.append(contact(i, created, resolved, rng.choice(["C", "C", "C", "D", None, ""]), rng.choice(["O", "O", None, ""]), rng.choice(["S", "T", None])))
+    key = lambda r: (r[3] or None, bool(r[4]), r[4] or r[5] or None)
+    want = {}
+    for i, created, _, *_rest in rows:
+        own = key(rows[int(i)])
+        if created is None or None in (own[0], own[2]):
+            want[i] = None
+            continue
+        prior = [(r[2], r[0]) for r in rows if r[2] is not None and r[2] < created and r[0] != i and key(r) == own]
+        best = max(prior, default=None)
+        want[i] = best[1] if best and created - best[0] <= dt.timedelta(days=3) else None
+    for hours in (1, 24, 5000):
+        assert repeats(spark, rows, window_days=3, block_hours=hours) == want
+    again = spark.createDataFrame(rows + rows[:50] + [(None, at(1), at(2), "C", "O", "S")] * 2, CONTACTS)
+    assert link.detect_repeat_contacts(again).count() == 752 == link.repeat_contact_flags(again).count()
+
+
+def test_repeat_contacts_scan_the_input_once(spark, tmp_path):
+    rows = [contact(i, T(2025, 1, 1), T(2025, 1, 2)) for i in range(20)]
+    spark.createDataFrame(rows, CONTACTS).write.parquet(f"{tmp_path}/t")
+    flags = link.repeat_contact_flags(spark.read.parquet(f"{tmp_path}/t"))
+    flags.collect()
+    plan = flags._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 1 and final.count("Exchange hashpartitioning") <= 3 and "Join" not in final
+
+
 def test_peer_group_fallbacks(spark):
     table = roster(spark, *[(f"A{i}", "x", "T1", D(2025, 1, 1), None) for i in range(3)], ("B0", "y", "T1", D(2025, 1, 1), None), ("C0", "x", "T2", D(2025, 1, 1), None), ("A0", "x", "T1", D(2026, 1, 1), None))
     got = {(r["agent_id"], r["agent_from_date"]): (r["comparison_group"], r["peer_fallback_level"], r["peer_agent_count"]) for r in peers.build_peer_groups(table).collect()}
