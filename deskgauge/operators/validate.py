@@ -105,24 +105,35 @@ def validate_relationship(
     parent: str, child: str, parent_df: DataFrame, child_df: DataFrame, pk: str, fk: str, unique_child: bool = False
 ) -> DataFrame:
     """Duplicate parent keys, orphan child values and, on request, child uniqueness. Blank values are left out."""
-    keys = parent_df.filter(_present(pk)).groupBy(F.col(pk).alias("__pk")).agg(F.count(F.lit(1)).alias("copies"))
-    values = child_df.filter(_present(fk)).groupBy(F.col(fk).alias("__fk")).agg(F.count(F.lit(1)).alias("uses"))
-    # both sides are one row per value, so a value used by a third of the rows is one row of the join
-    both = keys.join(values, F.col("__pk") == F.col("__fk"), "full_outer")
-    stats = both.agg(
-        F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("dup"),
-        F.coalesce(F.sum(F.when(F.col("__pk").isNull(), F.col("uses"))), F.lit(0)).alias("orphans"),
-        F.coalesce(F.sum(F.col("uses") - 1), F.lit(0)).alias("repeat"),
-    )
+    stats = _relationship_counts([(parent_df, pk, fk)], child_df)
     rows = [
-        check_row("parent_key_uniqueness", parent, pk, F.col("dup")),
-        check_row("referential_integrity", child, fk, F.col("orphans")),
+        check_row("parent_key_uniqueness", parent, pk, F.col("dup_0")),
+        check_row("referential_integrity", child, fk, F.col("orphans_0")),
     ]
     if unique_child:
-        rows.append(check_row("relationship_cardinality", child, fk, F.col("repeat")))
+        rows.append(check_row("relationship_cardinality", child, fk, F.col("repeat_0")))
     return stats.select(F.inline(F.array(*rows)))
 
 
+def _relationship_counts(relations: Sequence[tuple[DataFrame, str, str]], child_df: DataFrame) -> DataFrame:
+    """One row with dup_i, orphans_i and repeat_i for each (parent, parent key, child key).
+
+    The child is read once: its keys, as text, are exploded as (relation, key) and meet those of all parents in one aggregation. What is
+    shuffled is one row per key and task, so a value used by a third of the rows is no hot group.
+    """
+    keys = F.array_compact(F.array(*[F.when(_present(fk), F.struct(F.lit(i).alias("relation"), F.col(fk).cast("string").alias("key"))) for i, (_, _, fk) in enumerate(relations)]))
+    met = child_df.select(F.inline(keys)).select("relation", "key", F.lit(0).alias("copies"), F.lit(1).alias("uses"))
+    for i, (parent, pk, _) in enumerate(relations):
+        met = met.union(parent.filter(_present(pk)).select(F.lit(i), F.col(pk).cast("string"), F.lit(1), F.lit(0)))
+    counted = met.groupBy("relation", "key").agg(F.sum("copies").alias("copies"), F.sum("uses").alias("uses"))
+    columns = []
+    for i in range(len(relations)):
+        own = F.col("relation") == i
+        for name, value, when in (("dup", F.col("copies") - 1, F.col("copies") > 1), ("orphans", F.col("uses"), F.col("copies") == 0), ("repeat", F.col("uses") - 1, F.col("uses") > 1)):
+            columns.append(F.coalesce(F.sum(F.when(own & when, value)), F.lit(0)).alias(f"{name}_{i}"))
+    return counted.agg(*columns)
+
+
 def validate_table(
     dataset: str,
     df: DataFrame,
@@ -142,10 +153,12 @@ def validate_table(
 
 
 def relationship_findings(parents: Mapping[str, tuple[DataFrame, str, str]], child: str, child_df: DataFrame):
-    """Findings of several parents (name -> (frame, parent key, child key)) against one child."""
-    return union_checks(
-        *[validate_relationship(name, child, df, child_df, pk, fk) for name, (df, pk, fk) in parents.items()]
-    )
+    """Findings of several parents (name -> (frame, parent key, child key)) against one child, which is read once."""
+    stats = _relationship_counts(list(parents.values()), child_df)
+    rows = []
+    for i, (name, (_, pk, fk)) in enumerate(parents.items()):
+        rows += [check_row("parent_key_uniqueness", name, pk, F.col(f"dup_{i}")), check_row("referential_integrity", child, fk, F.col(f"orphans_{i}"))]
+    return stats.select(F.inline(F.array(*rows)))
 
 
 def stage_audit(

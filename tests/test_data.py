@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +141,23 @@ def test_cache_returns_newest(spark, tmp_path):
     got = {r["ticket_id"]: (r["cached_value"], r["cache_hit"]) for r in sinks.cache_lookup(requests, spark.read.parquet(path)).collect()}
     assert got == {"1": ("new", True), "2": (None, False)}
     assert [r["ticket_id"] for r in sinks.cache_misses(requests, spark.read.parquet(path)).collect()] == ["2"]
+
+
+def test_relationships_read_the_child_once(spark, tmp_path):
+    rng = random.Random(3)
+    child = [(rng.choice([None, "", "hot", "hot", str(rng.randint(0, 30))]), rng.choice([None, rng.randint(0, 12)])) for _ in range(500)]
+    left = [(rng.choice([None, "", "hot", str(rng.randint(0, 25))]),) for _ in range(40)]
+    right = [(rng.randint(0, 9),) for _ in range(30)]
+    for name, rows, schema in (("child", child, "a string, b int"), ("left", left, "pk string"), ("right", right, "pk int")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}")
+    read = lambda name: spark.read.parquet(f"{tmp_path}/{name}")
+    found = validate.relationship_findings({"left": (read("left"), "pk", "a"), "right": (read("right"), "pk", "b"), "none": (read("left").limit(0), "pk", "a")}, "child", read("child"))
+    got = [(r["name"], r["dataset"], r["count"]) for r in found.collect()]
+    want = []
+    for name, parent, at in (("left", left, 0), ("right", right, 1), ("none", [], 0)):
+        keys = [k for (k,) in parent if k not in (None, "")]
+        orphans = sum(row[at] not in (None, "") and row[at] not in keys for row in child)
+        want += [("parent_key_uniqueness", name, len(keys) - len(set(keys))), ("referential_integrity", "child", orphans)]
+    assert got == want
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("/child]") + plan.count("/child,") == 1 and "Join" not in plan
