@@ -6,6 +6,7 @@ lies within ``scope`` code points of them. Only Spark's own functions run here;
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -47,32 +48,59 @@ BASE = [p.kind for p in PARTS if not p.weak]
 COMPLEMENTS = {"identifier": ("secret",), "secret": ("identifier", "endpoint"), "endpoint": ("secret",)}
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _blocks(values: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of each of about sqrt(n) slices of a non-empty array, as an array."""
+    size = F.ceil(F.sqrt(F.size(values))).cast("int")
+    return F.transform(F.sequence(F.lit(0), ((F.size(values) - 1) / size).cast("int")), lambda i: _let(F.slice(values, i * size + 1, size), body))
+
+
+def _running(values: Column, combine: Callable[[Column, Column], Column], zero: int) -> Column:
+    """For each place of a non-empty int array what comes before it, combined. Done by blocks of about sqrt(n) places, as an
+    array that grows is copied with each step; so a text may have any number of matches."""
+    state = F.struct(F.lit(zero).alias("at"), F.array().cast("array<int>").alias("seen"))
+
+    def scan(part: Column) -> Column:
+        return F.aggregate(part, state, lambda s, x: F.struct(combine(s["at"], x).alias("at"), F.concat(s["seen"], F.array(s["at"])).alias("seen")))
+
+    def joined(blocks: Column) -> Column:
+        before = scan(F.transform(blocks, lambda b: b["at"]))["seen"]
+        return F.flatten(F.zip_with(blocks, before, lambda b, o: F.transform(b["seen"], lambda x: combine(o, x))))
+
+    return _let(_blocks(values, scan), joined)
+
+
 def _spans(text: Column, part: Part, number: int) -> Column:
     """array<struct<start, number, end>> of a part: the gaps between matches and the matches alternate, so lengths add up."""
+
+    def good(value: Column) -> Column:
+        fits = F.coalesce(F.length(value) >= part.least, F.lit(False))
+        for need in part.needs:
+            fits = fits & value.rlike(need)
+        return fits
+
     lengths = F.zip_with(
         F.split(text, part.pattern),
         F.arrays_zip(F.regexp_extract_all(text, F.lit(part.pattern), F.lit(0)).alias("whole"), F.regexp_extract_all(text, F.lit(part.pattern), F.lit(part.group)).alias("value")),
-        lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m["whole"]).alias("size"), m["value"].alias("value")),
+        lambda gap, m: F.struct(F.length(gap).alias("gap"), F.coalesce(F.length(m["whole"]), F.lit(0)).alias("size"), good(m["value"]).alias("good")),
     )
-    empty = F.array().cast("array<struct<start:int,number:int,end:int>>")
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
-        good = F.coalesce(F.length(x["value"]) >= part.least, F.lit(False))
-        for need in part.needs:
-            good = good & x["value"].rlike(need)
-        end = start + x["size"]
-        found = F.array(F.struct(start.alias("start"), F.lit(number).alias("number"), end.alias("end")))
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(good, F.concat(state["found"], found)).otherwise(state["found"]).alias("found"))
+    def placed(ls: Column) -> Column:
+        before = _running(F.transform(ls, lambda x: x["gap"] + x["size"]), lambda a, x: a + x, 0)
+        spans = F.zip_with(ls, before, lambda x, at: F.when(x["good"], F.struct((at + x["gap"]).alias("start"), F.lit(number).alias("number"), (at + x["gap"] + x["size"]).alias("end"))))
+        return F.array_compact(spans)
 
-    scanned = F.aggregate(lengths, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda s: s["found"])
     hint = text.contains(part.holds) if part.holds else text.rlike(part.hint or part.pattern)
-    return F.when(hint, scanned).otherwise(empty)
+    return F.when(hint, _let(lengths, placed)).otherwise(F.array().cast("array<struct<start:int,number:int,end:int>>"))
 
 
 def _ordered(spans: Column) -> Column:
     """By start, then by kind as listed, then by end."""
-    return F.array_sort(spans)
+    return F.sort_array(spans)
 
 
 def candidates(docs: DataFrame, text: str, keep: list[Column]) -> DataFrame:
@@ -93,8 +121,8 @@ def linked(texts: DataFrame, scope: int = SCOPE) -> DataFrame:
     roles = F.array(*[F.lit(p.role) for p in PARTS])
     weak = F.array(*[F.lit(p.weak) for p in PARTS])
     parts = texts.where(F.size("weak") > 0).select("text_key", F.explode(F.concat("base", "weak")).alias("p")).select("text_key", "p", F.get(roles, F.col("p.number")).alias("role"), F.get(weak, F.col("p.number")).alias("is_weak"))
-    order = Window.partitionBy("text_key").orderBy("p")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    # what comes after is what came before in the opposite order: a frame up to the end would be summed up anew for each row
+    before, after = (Window.partitionBy("text_key").orderBy(p).rowsBetween(Window.unboundedPreceding, -1) for p in (F.asc("p"), F.desc("p")))
     near = F.lit(False)
     for role, others in COMPLEMENTS.items():
         partner = F.col("role").isin(*others)
@@ -135,13 +163,20 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", scope: i
     found = found.select(F.col("text_key").alias(own), F.col("spans").alias(spans))
     out = docs.withColumn(key, text_key(text_or_empty(text))).join(found, F.col(key) == F.col(own), "left")
 
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(F.col(text), state["at"] + 1, s["start"] - state["at"])
-        new = F.when((s["start"] > state["at"]) | (state["at"] == 0) & (F.size(state["out"]) == 0), F.concat(state["out"], F.array(gap, F.lit(mark)))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), new.alias("out"))
+    def cleaned(found: Column, before: Column) -> Column:
+        """The text between the runs, cut by blocks of runs: a place far into a text is found by counting from its start."""
+        gaps = F.array_compact(F.zip_with(found, before, lambda s, at: F.when(s["start"] > at, F.struct(F.greatest(at, F.lit(0)).alias("from"), s["start"].alias("to")))))
+        end = F.array_max(F.transform(found, lambda s: s["end"]))
+
+        def cut(part: Column) -> Column:
+            first = F.get(part, F.lit(0))["from"]
+            some = F.substr(F.col(text), first + 1, F.get(part, F.size(part) - 1)["to"] - first)
+            return _let(some, lambda x: F.array_join(F.transform(part, lambda g: F.substr(x, g["from"] - first + 1, g["to"] - g["from"])), mark))
+
+        return F.concat(_let(gaps, lambda g: F.array_join(_blocks(g, cut), mark)), F.lit(mark), F.substr(F.col(text), end + 1))
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate(F.col(spans), begin, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(F.col(text), s["at"] + 1)))
+    ends = F.transform(F.col(spans), lambda s: s["end"])
+    clean = _let(F.struct(F.col(spans).alias("found"), _running(ends, F.greatest, -1).alias("before")), lambda x: cleaned(x["found"], x["before"]))
     none = F.col(spans).isNull()
     out = out.withColumn(text, F.when(none, F.col(text)).otherwise(clean))
     if length in docs.columns:

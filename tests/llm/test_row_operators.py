@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import random
 import re
 import struct
+import time
 from collections import Counter, defaultdict
 
 import corpus_pipeline
@@ -145,6 +147,38 @@ def test_redaction(spark):
     assert "abcdefgh1" not in "".join(t or "" for t in texts if t != "token:short")
 
 
+def test_a_text_of_very_many_secrets(spark):
+    """Time grows with the number of matches, not with its square."""
+    text = " ".join(f"token={'abcdefgh'}{i:06d} user=u{i:06d}" for i in range(250_000))
+    docs = documents(spark, [(1, text, "en", "s", 1, *EXTRA)])
+    begin = time.time()
+    found = secrets.scan(docs).select(F.size("base").alias("n"), F.size("spans").alias("all"), F.element_at("spans", -1).alias("last")).first()
+    assert found.n == 250_000 and found["all"] == 500_000 and found.last.end == len(text)
+    assert time.time() - begin < 120
+    some = documents(spark, [(1, text[: text.index("u020000")] + "u020000", "en", "s", 1, *EXTRA)])
+    assert secrets.redact(some).first().text == " ".join(["[SECRET]"] * 40_002)
+
+
+def test_linked_spans_equal_brute_force(spark):
+    """Weak parts are reported where a complementary part lies within the scope: all pairs of random texts."""
+    rng = random.Random(11)
+    words = ["user=alice", "login: bob12", "password=abcdefgh1", "https://db.example.net/x", "AKIAABCDEFGHIJKLMN", "0a" * 20, "aZ3" + "bC4d" * 9 + "e", "x " * 60, "y " * 170, "é\U0001f600"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 12))) for _ in range(150)]
+    for r in secrets.scan(documents(spark, [(i, t, "en", "s", 1, *EXTRA) for i, t in enumerate(texts)])).collect():
+        text, parts = texts[r.doc_id], []
+        for n, p in enumerate(secrets.PARTS):
+            for m in re.finditer(p.pattern, text):
+                value = m[p.group]
+                if len(value) >= p.least and all(re.search(x, value) for x in p.needs):
+                    parts.append((m.start(), n, m.end()))
+        want = [a for a in parts if not secrets.PARTS[a[1]].weak]
+        for a in parts:
+            mine = secrets.PARTS[a[1]]
+            near = [b for b in parts if secrets.PARTS[b[1]].role in secrets.COMPLEMENTS[mine.role] and max(a[0], b[0]) - min(a[2], b[2]) <= secrets.SCOPE]
+            want += [a] * bool(mine.weak and near)
+        assert [tuple(s) for s in r.spans] == sorted(want)
+
+
 # --- archives -----------------------------------------------------------------------------------------------------
 PAGES = [(1, "http://a/", "<p>same</p>"), (5, "http://b/\r\nX: y", "<p>same</p>"), (3, None, "<p>same</p>"), (5, "http://b/", "<p>same</p>"), (7, "http://c/", None), (8, "http://c/", ""), (9, "ü", "é" * 70_000), (None, "http://d/", "<p>same</p>"), (10, "u", "x\r\n\r\ny")]
 
