@@ -74,22 +74,18 @@ def _runs(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[n
     if not len(starts):
         return empty
     values = least[starts]
-    # places of smallest hashes; a run in which its own value stands twice may repeat itself
+    # a run in which its own value stands twice may repeat itself: of the places with that value, in order, only the first two
+    # from its start on are looked at, so many runs of one value cost no more than their number
     places = np.flatnonzero(np.isin(h, values, kind="sort")) if len(values) < 64 else np.flatnonzero(_is_some(h, values))
-    order = np.lexsort((places, h[places]))
-    v, at = h[places][order], places[order]
-    twin = np.flatnonzero((v[1:] == v[:-1]))
+    known = np.unique(values)
+    span = len(data) + 1
+    order = np.sort(np.searchsorted(known, h[places]) * span + places)
+    own = np.searchsorted(known, values)
+    second = np.searchsorted(order, own * span + starts) + 1
     again = sizes > width
-    if len(twin):
-        gap_start, gap_end = at[twin], at[twin + 1]
-        keys = np.argsort(values, kind="stable")
-        low = np.searchsorted(values[keys], v[twin], "left")
-        high = np.searchsorted(values[keys], v[twin], "right")
-        counts = high - low
-        pick = np.repeat(low, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        run = keys[pick]
-        inside = (np.repeat(gap_start, counts) >= starts[run]) & (np.repeat(gap_end, counts) < starts[run] + sizes[run] + width - 1)
-        again[run[inside]] = True
+    inside = np.flatnonzero(second < len(order))
+    value, place = np.divmod(order[second[inside]], span)
+    again[inside] |= (value == own[inside]) & (place < starts[inside] + sizes[inside] + width - 1)
     return values, number[starts], starts, sizes, again
 
 
@@ -113,13 +109,23 @@ def _cut(length: int, gram: int):
         columns = [pa.array(keys, pa.binary()).take(pa.array(number)), pa.array(v.view(np.int64)), pa.array((start - begins[number]).astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(again)]
         return pa.RecordBatch.from_arrays(columns, names=["key", "hash", "start", "windows", "again"])
 
+    def blocks(key: bytes, data: bytes) -> Iterator[pa.RecordBatch]:
+        """A very long text by blocks of windows; a run that goes on in the next block becomes two with one hash."""
+        for at in range(0, len(data) - length + 1, CUT_BYTES):
+            part = rows([key], [data[at : at + CUT_BYTES + length - 1]])
+            yield part.set_column(2, "start", pa.array(part.column(2).to_numpy() + np.int32(at)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts, size = [], [], 0
             for k, t in zip(batch.column(0), batch.column(1), strict=True):
+                data = t.as_py().encode()
+                if len(data) > 2 * CUT_BYTES:
+                    yield from blocks(k.as_py(), data)
+                    continue
                 keys.append(k.as_py())
-                texts.append(t.as_py().encode())
-                size += len(texts[-1])
+                texts.append(data)
+                size += len(data)
                 if size >= CUT_BYTES:
                     yield rows(keys, texts)
                     keys, texts, size = [], [], 0
@@ -152,9 +158,9 @@ def _slices(length: int):
                         seen.add(name)
                     rows.append((p["hash"], name, key, p["start"], p["windows"], p["again"], occurrence, piece if new else None))
                     size += 100 + len(piece) * new
-                if size > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-                    rows, size = [], 0
+                    if size > 4 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                        rows, size = [], 0
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 

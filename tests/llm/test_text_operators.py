@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -301,3 +303,42 @@ def test_quality_of_awkward_rows(spark):
     assert {(r.score, r.predicted) for r in nobody} == {(0.5, 1)}
     assert quality.classified(documents(spark, []), labels).count() == 0
     assert CLEAN.strip()
+
+
+def test_runs_of_one_long_text_take_linear_memory():
+    """A line that stands 90,000 times between random letters: each run looks at two places, not at all of its twins."""
+    rng = np.random.default_rng(3)
+    line = prose(7, 40)[:134].encode()
+    parts = rng.integers(97, 123, (90_000, 90), np.uint8)
+    data = b"".join(p.tobytes() + line for p in parts)
+    assert len(data) > 20_000_000
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in repeats._cut(200, 64)(iter([pa.RecordBatch.from_pydict({"key": [b"k"], "text": [data.decode()]})])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows > 90_000 and peak < 1 << 30
+
+
+def test_runs_are_those_of_a_plain_scan():
+    rng = random.Random(9)
+    for trial in range(30):
+        texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 120))).encode() * rng.choice([1, 3]) for _ in range(4)]
+        ends = np.cumsum([len(t) for t in texts])
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        v, number, start, windows, again = repeats._runs(data, ends, 20, 8)
+        covered = Counter()
+        for i, (value, n, at, w) in enumerate(zip(v, number, start, windows, strict=True)):
+            base = at - (ends[n - 1] if n else 0)
+            covered.update((n, base + k) for k in range(w))
+            with np.errstate(over="ignore"):
+                grams = repeats._gram_hashes(data[at : at + w + 19], 8)
+            assert again[i] == (w > 13 or (grams == value).sum() > 1)
+            assert all(grams[k : k + 13].min() == value for k in range(w))
+        assert covered == Counter((n, k) for n, t in enumerate(texts) for k in range(len(t) - 19))
+
+
+def test_repeated_strings_of_a_text_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "CUT_BYTES", 700)
+    base = prose(4, 500)
+    rows = [(1, base, "en", "s", 1, *EXTRA), (2, prose(5, 50) + base[300:2200] + prose(6, 50), "en", "s", 1, *EXTRA), (3, base[:1500] * 2, "en", "s", 1, *EXTRA)]
+    check_repeats(spark, rows, 200)
