@@ -125,11 +125,16 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 def vectors_of(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(vec_id, vector) of the rows that take part. Of several lengths the most frequent one does (ties: the shorter)."""
-    rows = table.where(F.col(vec_id).isNotNull() & usable(F.col(vector))).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("vector"))
+    rows = table.where(F.col(vec_id).isNotNull() & usable(F.col(vector))).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("vector"))
     size = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return rows.where(F.size("vector") == (size.n if size else -1))
 
 
+def _kind(vectors: DataFrame) -> str:
+    """Type of the vectors, which keep the precision they came with."""
+    return vectors.schema["vector"].dataType.simpleString()
+
+
 def fit_centroids(vectors: DataFrame, settings: Settings) -> CentroidGraph | None:
     """A graph of centroids from a bounded sample by hash; None for an empty table."""
     count = vectors.count()
@@ -162,11 +167,11 @@ def _lists(vectors: DataFrame, graph: CentroidGraph, settings: Settings) -> Data
                 taken = part.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[rows, places].astype(np.int32)), taken.column(0), taken.column(1)], names=["list", "vec_id", "vector"])
 
-    return vectors.mapInArrow(assign, "list int, vec_id long, vector array<float>")
+    return vectors.mapInArrow(assign, f"list int, vec_id long, vector {_kind(vectors)}")
 
 
 def fit_ratio(vectors: DataFrame, graph: CentroidGraph, settings: Settings, top: int) -> tuple[float, int]:
-    """The distance ratio that lists must be within to hold ``recall`` of true neighbours, and how many lists that can be.
+    """The distance ratio that lists must be within to hold ``recall`` of true neighbours, and how many lists that is for most.
 
     The true neighbours of ``trials`` vectors are found by one pass over all vectors; each task returns ``top`` for each.
     """
@@ -183,7 +188,7 @@ def fit_ratio(vectors: DataFrame, graph: CentroidGraph, settings: Settings, top:
                 kept = batch.take(pa.array(best))
                 yield pa.RecordBatch.from_arrays([pa.array([int(t)] * len(best), pa.int64()), pa.array(d[best]), kept.column(1)], names=["trial", "d", "vector"])
 
-    found = vectors.mapInArrow(exact, "trial long, d double, vector array<float>")
+    found = vectors.mapInArrow(exact, f"trial long, d double, vector {_kind(vectors)}")
     best = found.withColumn("n", F.row_number().over(Window.partitionBy("trial").orderBy("d"))).where(F.col("n") <= top).select("trial", "vector").toArrow()
     ids, dist = graph.nearest(x, len(graph.centres))
     if not best.num_rows:
@@ -213,6 +218,26 @@ def _blocks(graph: CentroidGraph, sizes: np.ndarray, settings: Settings) -> np.n
     return out
 
 
+def _lists_within(graph: CentroidGraph, x: np.ndarray, sizes: np.ndarray, ratio: float, beam: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of each row, nearest first, and which of them it reads: those within the ratio of its nearest distance, and as many
+    as hold ``least`` vectors. A row whose last list found is still wanted is searched again with a wider beam, until one is
+    not or the centroids end; so no number of lists is fixed."""
+
+    def measured(rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        ids, dist = graph.nearest(x[rows], width)
+        held = np.where(ids >= 0, sizes[np.maximum(ids, 0)], 0)
+        before = np.cumsum(held, axis=1) - held
+        return ids, (ids >= 0) & ((dist <= ratio * dist[:, :1]) | (before < least))
+
+    ids, wanted = measured(np.arange(len(x)), beam)
+    while ids.shape[1] < len(graph.centres) and (again := np.flatnonzero(wanted[:, -1])).size:
+        wide, more = measured(again, 2 * ids.shape[1])
+        room = ((0, 0), (0, wide.shape[1] - ids.shape[1]))
+        ids, wanted = np.pad(ids, room, constant_values=-1), np.pad(wanted, room)
+        ids[again], wanted[again] = wide, more
+    return ids, wanted
+
+
 def _probes(queries: DataFrame, graph: CentroidGraph, sizes: np.ndarray, blocks: np.ndarray, ratio: float, most: int, settings: Settings) -> DataFrame:
     """(block, query_id, vector, lists): for each block the lists within the ratio of the nearest, at least as many in all
     as hold ``least`` vectors."""
@@ -221,10 +246,7 @@ def _probes(queries: DataFrame, graph: CentroidGraph, sizes: np.ndarray, blocks:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids, dist = graph.nearest(_matrix(part.column(1)), max(settings.beam, most))
-                held = np.where(ids >= 0, sizes[np.maximum(ids, 0)], 0)
-                before = np.cumsum(held, axis=1) - held
-                wanted = (ids >= 0) & ((dist <= ratio * dist[:, :1]) | (before < settings.least))
+                ids, wanted = _lists_within(graph, _matrix(part.column(1)), sizes, ratio, max(settings.beam, most), settings.least)
                 rows, found, lists = [], [], []
                 for row in range(len(ids)):
                     own = ids[row][wanted[row]]
@@ -235,7 +257,7 @@ def _probes(queries: DataFrame, graph: CentroidGraph, sizes: np.ndarray, blocks:
                 taken = part.take(pa.array(rows, pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), taken.column(0), taken.column(1), pa.array(lists, pa.list_(pa.int32()))], names=["block", "query_id", "vector", "lists"])
 
-    return queries.mapInArrow(probe, "block int, query_id long, vector array<float>, lists array<int>")
+    return queries.mapInArrow(probe, f"block int, query_id long, vector {_kind(queries)}, lists array<int>")
 
 
 def _nearest_in_block(top: int):

@@ -299,6 +299,25 @@ def test_neighbours_of_awkward_vectors(spark):
     assert len(few) == 2 and ann.search(table.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_lists_of_a_query_far_from_all_centroids():
+    """All centroids are about as far from it, many more than any beam: each is read."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(900, 16))
+    graph = ann.CentroidGraph(centres, 16, 1)
+    x = np.concatenate([centres[:5] + 0.001, np.full((1, 16), 1e6)])
+    ids, wanted = ann._lists_within(graph, x, np.ones(900, np.int64), 1.001, 32, 0)
+    assert wanted.sum(axis=1).tolist() == [1] * 5 + [900] and len(set(ids[5])) == 900
+    ids, wanted = ann._lists_within(graph, x, np.ones(900, np.int64), 1.001, 32, 200)
+    assert wanted.sum(axis=1).tolist() == [200] * 5 + [900]
+
+
+def test_doubles_keep_their_precision(spark):
+    rows = [(i, [1.0 + i * 1e-9, 2.0]) for i in range(20)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.rank, r.vec_id, r.score) for r in ann.search(table, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert [x[1] for x in got] == list(range(1, 11)) and got[0][2] == rows[1][1][0] - 1.0
+
+
 @pytest.mark.parametrize("clustered", [True, False])
 def test_recall_and_split_lists(spark, clustered):
     rng = np.random.default_rng(7)
