@@ -215,6 +215,7 @@ def near_copies() -> list[tuple]:
 @pytest.mark.parametrize("small", [8, 2])
 def test_near_copies_by_shingles(spark, monkeypatch, small):
     monkeypatch.setattr(minhash, "SMALL", small)
+    monkeypatch.setattr(minhash, "CENTERS", 1)
     monkeypatch.setattr(minhash, "GROWTH", 2)
     rows = near_copies()
     groups = similar_groups(rows)
