@@ -216,7 +216,6 @@ def near_copies() -> list[tuple]:
 def test_near_copies_by_shingles(spark, monkeypatch, small):
     monkeypatch.setattr(minhash, "SMALL", small)
     monkeypatch.setattr(minhash, "CENTERS", 1)
-    monkeypatch.setattr(minhash, "GROWTH", 2)
     rows = near_copies()
     groups = similar_groups(rows)
     got = minhash.similar_documents(documents(spark, rows)).collect()
