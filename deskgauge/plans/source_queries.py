@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -201,6 +202,36 @@ def _cache(spark, sf):
     return found.select("ticket_id", "cache_hit")
 
 
+def _keyed_requests(spark, sf):
+    """Requests of all predictions, and a cache into which the accepted ones were merged twice."""
+    v = validated_table(spark, sf)
+    request = F.concat_ws(" ", "ticket_id", F.col("sources")[0])
+    keyed = v.withColumn("request_key", textreview.cache_key(request, F.lit("rules"), F.lit("v1")))
+    cache = sinks.KeyedCache(spark, f"result_cache_{uuid.uuid4().hex}")
+    accepted = keyed.filter("is_valid").select("request_key", F.col("payload").alias("value"))
+    cache.merge(accepted)
+    cache.merge(accepted)
+    return keyed, cache
+
+
+@query(
+    "snk5_keyed_cache",
+    with_sql(VALIDATED_SQL, "SELECT ticket_id, rule IS NULL AS cache_hit, CASE WHEN rule IS NULL THEN 1 ELSE 0 END AS rows FROM validated"),
+)
+def _keyed_cache(spark, sf):
+    """Hits, and how many rows the cache holds for the request after the same results came twice."""
+    keyed, cache = _keyed_requests(spark, sf)
+    held = cache.read().groupBy("request_key").agg(F.count("*").cast("int").alias("rows"))
+    found = cache.lookup(keyed.select("ticket_id", "request_key")).join(held, "request_key", "left")
+    return found.select("ticket_id", "cache_hit", F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
+@query("snk5_cache_misses", with_sql(VALIDATED_SQL, "SELECT ticket_id, rule FROM validated WHERE rule IS NOT NULL"))
+def _cache_misses(spark, sf):
+    keyed, cache = _keyed_requests(spark, sf)
+    return cache.misses(keyed.select("ticket_id", "rule", "request_key")).select("ticket_id", "rule")
+
+
 _BUNDLE = {
     "region": ["r_regionkey", "r_name"],
     "supplier": ["s_suppkey", "s_nationkey"],

@@ -79,6 +79,53 @@ def cache_misses(requests: DataFrame, cache: DataFrame) -> DataFrame:
     return requests.join(cache, "request_key", "left_anti")
 
 
+class KeyedCache:
+    """A result cache as a table bucketed and sorted by ``request_key``, one row a key.
+
+    A lookup shuffles the requests to the buckets of the table and never the table. ``merge`` joins accepted results to the
+    buckets and writes the next table, so repeated results of a key don't pile up; the old table is replaced only when the new
+    one is complete, and a merge that broke off between the two steps is finished by the next use. Spark shuffles a bucketed side after
+    all where it has fewer buckets than ``spark.sql.shuffle.partitions``, so that is the least number.
+    """
+
+    columns = "request_key string, value string, cached_at timestamp"
+
+    def __init__(self, spark: SparkSession, table: str, buckets: int | None = None) -> None:
+        self.spark, self.table, self.next = spark, table, f"{table}_next"
+        self.buckets = max(buckets or 0, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def read(self) -> DataFrame:
+        """The cached rows, none before the first merge."""
+        if not self.spark.catalog.tableExists(self.table):
+            if not self.spark.catalog.tableExists(self.next):
+                return self.spark.createDataFrame([], self.columns)
+            self.spark.sql(f"ALTER TABLE {self.next} RENAME TO {self.table}")
+        return self.spark.table(self.table)
+
+    def merge(self, results: DataFrame) -> None:
+        """Add (request_key, value) of accepted results; a key that is already there gets the new value. Of several values for a
+        key in ``results`` the greatest is taken; rows without a key are left out."""
+        old = self.read()
+        fresh = results.where("request_key is not null").groupBy("request_key").agg(F.max("value").alias("new_value"))
+        both = old.join(fresh, "request_key", "full_outer")
+        renewed = F.col("new_value").isNotNull()
+        rows = both.select(
+            "request_key", F.coalesce("new_value", "value").alias("value"), F.when(renewed, F.current_timestamp()).otherwise(F.col("cached_at")).alias("cached_at")
+        )
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.next}")
+        rows.repartition(self.buckets, "request_key").write.bucketBy(self.buckets, "request_key").sortBy("request_key").saveAsTable(self.next)
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        self.spark.sql(f"ALTER TABLE {self.next} RENAME TO {self.table}")
+
+    def lookup(self, requests: DataFrame) -> DataFrame:
+        """Requests with their cached value and whether they hit."""
+        known = self.read().select("request_key", F.col("value").alias("cached_value"))
+        return requests.join(known, "request_key", "left").withColumn("cache_hit", F.col("cached_value").isNotNull())
+
+    def misses(self, requests: DataFrame) -> DataFrame:
+        return cache_misses(requests, self.read().select("request_key"))
+
+
 # --- published bundle ---------------------------------------------------------------------------------------------
 def manifest_row(df: DataFrame, table: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("row_count"), content_hash(df).cast("string").alias("content_hash")).select(

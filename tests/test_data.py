@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -161,3 +162,38 @@ def test_relationships_read_the_child_once(spark, tmp_path):
     assert got == want
     plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("/child]") + plan.count("/child,") == 1 and "Join" not in plan
+
+
+def test_keyed_cache(spark):
+    name = f"cache_{uuid.uuid4().hex}"
+    cache = sinks.KeyedCache(spark, name, 16)
+    requests = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), (None, 4)], "request_key string, n int")
+    assert cache.lookup(requests).filter("cache_hit").count() == 0 and cache.misses(requests).count() == 4
+    results = lambda *rows: spark.createDataFrame(rows, "request_key string, value string")
+    cache.merge(results(("a", "x"), ("b", "y"), ("b", "z"), (None, "w")))
+    first = {r["request_key"]: r["cached_at"] for r in cache.read().collect()}
+    cache.merge(results(("a", "x2"), ("d", "v")))
+    rows = {r["request_key"]: r for r in cache.read().collect()}
+    assert cache.read().count() == 3 and {k: r["value"] for k, r in rows.items()} == {"a": "x2", "b": "z", "d": "v"}
+    assert rows["b"]["cached_at"] == first["b"] and rows["a"]["cached_at"] > first["a"]
+    assert {r["n"]: r["cached_value"] for r in cache.lookup(requests).collect()} == {1: "x2", 2: "z", 3: None, 4: None}
+    assert sorted(r["n"] for r in cache.misses(requests).collect()) == [3, 4]
+    # a merge that broke off after the old table went is finished by the next use
+    spark.sql(f"ALTER TABLE {name} RENAME TO {name}_next")
+    assert sinks.KeyedCache(spark, name, 16).read().count() == 3
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_keyed_cache_is_not_shuffled(spark):
+    name = f"cache_{uuid.uuid4().hex}"
+    cache = sinks.KeyedCache(spark, name, 16)
+    cache.merge(spark.range(1000).select(F.col("id").cast("string").alias("request_key"), F.lit("v").alias("value")))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for found in (cache.lookup, cache.misses):
+            plan = found(spark.range(500).select(F.col("id").cast("string").alias("request_key")))._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql(f"DROP TABLE {name}")
