@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from deskgauge.operators import decide, economics, link, metrics, robust
 from deskgauge.params import DECISION_SCENARIOS, OUTCOMES, SENSITIVITY_SCENARIOS, DecisionConfig
 from deskgauge.plans.adapters import order_tickets, product_dimension, table, work_items
-from deskgauge.plans.catalog import out, query, staged, with_sql
+from deskgauge.plans.catalog import out, query, scratch, staged, with_sql
 from deskgauge.plans.metric_queries import METRICS_SQL, event_metrics
 from deskgauge.plans.money_queries import ORDER_METRICS_SQL, economics_table, enriched_table, order_metrics
 from deskgauge.plans.peer_queries import ADJUSTED_SQL, COMPARISON_SQL, adjusted_table, comparison, grouped_items
@@ -742,6 +742,50 @@ def _reproducible(spark, sf):
     return robust.reproducibility(rows(spark, sf), rows(spark, sf).repartition(3))
 
 
+_RUN_COLUMNS = {"order_values": ("order_id", "value", "lines"), "customer_orders": ("customer_id", "orders", "latest"), "segments": ("segment", "customers")}
+
+
+def _run_sql() -> str:
+    """Two runs, and for each column and table whether they hold the same values as often."""
+    stages = {
+        "order_values": "SELECT l_orderkey AS order_id, sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS value, count(*) AS lines FROM lineitem GROUP BY l_orderkey",
+        "customer_orders": "SELECT o_custkey AS customer_id, count(*) AS orders, max(o_orderdate) AS latest FROM {orders} GROUP BY o_custkey",
+        "segments": "SELECT c_mktsegment AS segment, count(*) AS customers FROM customer GROUP BY c_mktsegment",
+    }
+    late = "early_orders AS (SELECT * FROM orders WHERE o_orderdate < (SELECT max(date_trunc('day', o_orderdate)) FROM orders))"
+    ctes = [late] + [f"{n}_{side} AS ({q.format(orders=o)})" for n, q in stages.items() for side, o in (("a", "orders"), ("b", "early_orders"))]
+
+    def same(name: str, columns: str) -> str:
+        a, b = (f"SELECT {columns}, count(*) FROM {name}_{side} GROUP BY ALL" for side in "ab")
+        return f"(NOT EXISTS (({a}) EXCEPT ({b})) AND NOT EXISTS (({b}) EXCEPT ({a})))"
+
+    rows = lambda n: f"(SELECT count(*) FROM {n}_a) AS rows, (SELECT count(*) FROM {n}_b) AS rows_again"
+    leaves = [f"SELECT '{n}' AS \"table\", '{c}' AS \"column\", {rows(n)}, {same(n, c)} AND (SELECT count(*) FROM {n}_a) = (SELECT count(*) FROM {n}_b) AS equal, NULL::VARCHAR AS first_difference" for n, cs in _RUN_COLUMNS.items() for c in cs]
+    tables = [f"SELECT '{n}' AS \"table\", NULL::VARCHAR AS \"column\", {rows(n)}, {same(n, ', '.join(cs))} AS equal, NULL::VARCHAR AS first_difference, {i} AS place" for i, (n, cs) in enumerate(_RUN_COLUMNS.items())]
+    ctes.append(f"by_table AS ({' UNION ALL '.join(tables)})")
+    root = "SELECT NULL AS \"table\", NULL AS \"column\", sum(by_table.rows)::BIGINT AS rows, sum(by_table.rows_again)::BIGINT AS rows_again, bool_and(by_table.equal) AS equal, arg_min(\"table\", place) FILTER (WHERE NOT by_table.equal) AS first_difference FROM by_table"
+    return with_sql(", ".join(ctes), f"{root} UNION ALL SELECT * EXCLUDE (place) FROM by_table UNION ALL {' UNION ALL '.join(leaves)}")
+
+
+@query("rob10_run_hash_tree", _run_sql())
+def _run_tree(spark, sf):
+    """A run over all orders and one that lacks those of the last day, each written to a folder of its own and read back."""
+    orders = table(spark, sf, "orders")
+    last = orders.agg(F.max(F.date_trunc("day", "o_orderdate")).alias("day"))
+    runs = []
+    for rows in (orders, orders.where(F.col("o_orderdate") < last.select("day").scalar()).repartition(5)):
+        stages = {
+            "order_values": table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("order_id")).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("value"), F.count("*").alias("lines")),
+            "customer_orders": rows.groupBy(F.col("o_custkey").alias("customer_id")).agg(F.count("*").alias("orders"), F.max("o_orderdate").alias("latest")),
+            "segments": table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("customers")),
+        }
+        folder = scratch(spark, "run")
+        for name, df in stages.items():
+            df.write.parquet(f"{folder}/{name}")
+        runs.append({name: spark.read.parquet(f"{folder}/{name}") for name in stages})
+    return robust.compare_runs(*runs)
+
+
 @query(
     "rob11_stage_audit",
     with_sql(

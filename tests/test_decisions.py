@@ -211,3 +211,18 @@ def test_sampling_is_deterministic(spark):
     assert pick(rows, 1) == pick(rows.repartition(5), 1) != pick(rows, 2)
     with pytest.raises(ValueError, match="none of"):
         textreview.select_candidates(rows, "other")
+
+
+def test_hash_tree_finds_the_first_table_that_differs(spark):
+    a = spark.createDataFrame([(i, f"v{i % 3}", [i]) for i in range(50)], "k int, v string, list array<int>")
+    b = spark.createDataFrame([(i, i * 0.5) for i in range(20)], "k int, x double")
+    tree = lambda first, second: {(r["table"], r["column"]): r for r in robust.compare_runs(first, second).collect()}
+    same = tree({"a": a, "b": b}, {"a": a.repartition(7), "b": b.orderBy(F.desc("k"))})
+    assert all(r["equal"] for r in same.values()) and same[None, None]["first_difference"] is None and len(same) == 8
+    changed = b.withColumn("x", F.when(F.col("k") == 7, -1.0).otherwise(F.col("x")))
+    one = tree({"a": a, "b": b}, {"a": a, "b": changed})
+    assert [k for k, r in one.items() if not r["equal"]] == [(None, None), ("b", None), ("b", "x")] and one[None, None]["first_difference"] == "b"
+    swapped = tree({"b": b}, {"b": b.withColumn("x", F.lit(9.5) - F.col("x"))})  # the same values in other rows
+    assert swapped["b", "x"]["equal"] and not swapped["b", None]["equal"]
+    lacks = tree({"a": a, "b": b}, {"b": b.limit(3), "c": a.limit(0)})
+    assert lacks[None, None]["first_difference"] == "a" and not lacks["c", None]["equal"] and lacks["c", None]["rows_again"] == 0
