@@ -414,6 +414,18 @@ def _all(spark, sf):
     return textreview.select_candidates(scored(spark, sf), "all").select("ticket_id", "candidate_score")
 
 
+@query("txt3_select_agent_sample", with_sql(SCORED_SQL, "SELECT ticket_id, candidate_score FROM candidates WHERE agent_id = 'S0' ORDER BY candidate_score DESC, ticket_id LIMIT 40"))
+def _agent_sample(spark, sf):
+    return textreview.select_candidates(scored(spark, sf), "agent_sample", 40, agent_id="S0").select("ticket_id", "candidate_score")
+
+
+@query("txt3_select_peer_sample", with_sql(SCORED_SQL, "SELECT ticket_id, candidate_score FROM candidates WHERE channel = 'voice' ORDER BY candidate_score DESC, ticket_id LIMIT 60"))
+def _peer_sample(spark, sf):
+    """The review list of one peer group; the groups here are the channels."""
+    grouped = scored(spark, sf).withColumn("comparison_group", F.col("channel"))
+    return textreview.select_candidates(grouped, "peer_sample", 60, peer_group="voice").select("ticket_id", "candidate_score")
+
+
 def requests(spark, sf):
     return textreview.render_requests(scored(spark, sf), "rules", "v1")
 
