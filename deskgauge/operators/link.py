@@ -321,6 +321,12 @@ def overlay(base: DataFrame, *later: DataFrame, key: str = "ticket_id") -> DataF
     return result
 
 
+def adjusted_overlay(comparison: DataFrame, adjusted: DataFrame) -> DataFrame:
+    """Full-period comparison rows with the quarter rows of the adjusted metrics appended; columns that only one side has are
+    null on the other, so decisions read gaps of both from one table."""
+    return comparison.unionByName(adjusted.filter(F.col("period_type") == "quarter"), allowMissingColumns=True)
+
+
 def first_per_key(df: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
     """The first row of each key under a total order."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))

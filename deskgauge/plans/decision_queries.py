@@ -374,8 +374,7 @@ def _comparison_overlay(spark, sf):
     ),
 )
 def _adjusted_overlay(spark, sf):
-    quarters = adjusted_table(spark, sf).filter("period_type = 'quarter'")
-    both = comparison(spark, sf).unionByName(quarters, allowMissingColumns=True)
+    both = link.adjusted_overlay(comparison(spark, sf), adjusted_table(spark, sf))
     return both.select("agent_id", "agent_from_date", "period_type", "period", "comparison_status", "csat_gap")
 
 

@@ -191,3 +191,10 @@ def test_scenarios_reject_negative_exposure(spark):
     assert rows.count() == 18 and float(rows.agg(F.max("scenario_opportunity")).first()[0]) == 30
     with pytest.raises(Exception, match="negative exposure"):
         economics.opportunity_scenarios(spark.range(1).withColumns(zero | {"contact_cost_inr": F.lit(-1).cast("decimal(18,2)")})).collect()
+
+
+def test_adjusted_overlay_appends_quarters(spark):
+    full = spark.createDataFrame([("A", "full_available_period", 0.5, "comparable")], "agent_id string, period_type string, csat_gap double, comparison_status string")
+    adjusted = spark.createDataFrame([("A", "quarter", 0.1, 3), ("A", "month", 0.2, 1), (None, "quarter", None, 2)], "agent_id string, period_type string, csat_gap double, tickets int")
+    rows = {tuple(r) for r in link.adjusted_overlay(full, adjusted).collect()}
+    assert rows == {("A", "full_available_period", 0.5, "comparable", None), ("A", "quarter", 0.1, None, 3), (None, "quarter", None, None, 2)}
