@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deskgauge.llm.common import stored
+from deskgauge.llm.common import free_name, stored
 
 WHITE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -100,6 +100,12 @@ def _counted(docs: DataFrame, text: str, host: str, keep: list[Column]) -> DataF
     return stored(found.withColumn("number", F.monotonically_increasing_id()), "line-counts")
 
 
+def _text_key(host: str, text: str) -> list[Column]:
+    """128 bits of a host and a text; a null text is an empty one."""
+    own, body = F.col(host).cast("string"), F.coalesce(F.col(text), F.lit(""))
+    return [F.xxhash64(F.coalesce(own, F.lit("")), own.isNull(), body), F.xxhash64(F.lit(1), body, own.isNull(), F.coalesce(own, F.lit("")))]
+
+
 def _removed(counted: DataFrame, **limits) -> DataFrame:
     """(of, cut, gone): for each document with lines above the limit the number of their words and their hashes."""
     lines = counted.select("number", F.inline("lines")).join(frequent_lines(counted, **limits), F.col("line") == F.col("bad"))
@@ -124,12 +130,16 @@ def judged(docs: DataFrame, text: str = "text", host: str = "source", doc_id: st
 
 def apply_rules(docs: DataFrame, text: str = "text", host: str = "source", min_left: float = MIN_LEFT, length: str | None = "n_chars", **limits) -> DataFrame:
     """The documents that ``judged`` keeps, all columns, without their lines above the limit; ``length`` follows the text."""
-    counted = _counted(docs, text, host, [F.col(f"`{c}`") for c in docs.columns])
-    out = counted.where("not base_failed").join(_removed(counted, **limits), F.col("number") == F.col("of"), "left").where(_judgement(min_left))
-    own = {c: F.col(f"k{i + 1}") for i, c in enumerate(docs.columns)}
-    stay = F.array_join(F.filter(F.split(own[text], "\n"), lambda x: ~x.rlike(r"[^\x20\x09-\x0D]") | ~F.array_contains("gone", _line_hash(F.col("host"), _words(x)))), "\n")
-    changed = F.col("gone").isNotNull()
-    new = {text: F.when(changed, stay).otherwise(own[text])}
+    # only counts and hashes are stored; texts are read again and meet their verdict by 128 bits of host and text
+    counted = _counted(docs, text, host, _text_key(host, text))
+    verdicts = counted.where("not base_failed").join(_removed(counted, **limits), F.col("number") == F.col("of"), "left").where(_judgement(min_left))
+    names = [free_name(docs, n) for n in ("own_1", "own_2", "kept_1", "kept_2", "gone")]
+    one, two, gone = F.col(names[0]), F.col(names[1]), F.col(names[4])
+    verdicts = verdicts.dropDuplicates(["k1", "k2"]).select(F.col("k1").alias(names[2]), F.col("k2").alias(names[3]), F.col("gone").alias(names[4]))
+    out = docs.withColumns(dict(zip(names[:2], _text_key(host, text), strict=True))).join(verdicts, (one == F.col(names[2])) & (two == F.col(names[3])))
+    stay = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~x.rlike(r"[^\x20\x09-\x0D]") | ~F.array_contains(gone, _line_hash(F.col(host).cast("string"), _words(x)))), "\n")
+    changed = gone.isNotNull()
+    new = {text: F.when(changed, stay).otherwise(F.col(text))}
     if length in docs.columns:
-        new[length] = F.when(changed, F.length(stay).cast(docs.schema[length].dataType)).otherwise(own[length])
-    return out.select(*[new.get(c, own[c]).alias(c) for c in docs.columns])
+        new[length] = F.when(changed, F.length(stay).cast(docs.schema[length].dataType)).otherwise(F.col(length))
+    return out.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
