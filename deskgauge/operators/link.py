@@ -201,17 +201,28 @@ def attach_peer_groups(tickets: DataFrame, peer_groups: DataFrame) -> DataFrame:
     fields = ("comparison_group", "peer_fallback_level", "peer_agent_count", "peer_supported")
     # one row per assignment: a roster listing the same assignment twice describes the same peers
     groups = peer_groups.select(*ASSIGNMENT, *fields).dropDuplicates(list(ASSIGNMENT))
-    renamed = groups.withColumnsRenamed({k: f"__g_{k}" for k in ASSIGNMENT})
-    condition = F.col("agent_assignment_flag") == "matched"
-    for k in ASSIGNMENT:
-        condition = condition & tickets[k].eqNullSafe(renamed[f"__g_{k}"])
-    joined = tickets.join(renamed, condition, "left")
+    # the few assignments of an agent travel as one list, so tickets that were dealt by agent for the roster stay where they are
+    lists = groups.groupBy("agent_id").agg(F.collect_list(F.struct(*ASSIGNMENT[1:], *fields)).alias("__groups"))
+    nobody = lists.filter("agent_id is null").select(F.col("__groups").alias("__nobody"))
+    named = lists.filter("agent_id is not null").select(F.col("agent_id").alias("__agent"), "__groups")
+    joined = tickets.join(named, tickets["agent_id"] == F.col("__agent"), "left")
+    joined = joined.join(nobody, tickets["agent_id"].isNull(), "left")  # one row or none
+
+    def same(group: Column) -> Column:
+        found = F.lit(True)
+        for k in ASSIGNMENT[1:]:
+            found = found & group[k].eqNullSafe(tickets[k])
+        return found
+
+    own = F.when(F.col("agent_assignment_flag") == "matched", F.coalesce("__groups", "__nobody"))
+    joined = joined.withColumn("__own", own).withColumn("__group", F.get(F.filter("__own", same), F.lit(0)))
+    joined = joined.withColumns({f"__g_{f}": F.col("__group")[f] for f in fields})
     return joined.select(
         *[tickets[c] for c in tickets.columns],
-        F.col("comparison_group"),
-        F.coalesce("peer_fallback_level", F.lit("unmatched_context")).alias("peer_fallback_level"),
-        F.coalesce("peer_agent_count", F.lit(0)).alias("peer_agent_count"),
-        F.coalesce("peer_supported", F.lit(False)).alias("peer_supported"),
+        F.col("__g_comparison_group").alias("comparison_group"),
+        F.coalesce("__g_peer_fallback_level", F.lit("unmatched_context")).alias("peer_fallback_level"),
+        F.coalesce("__g_peer_agent_count", F.lit(0)).alias("peer_agent_count"),
+        F.coalesce("__g_peer_supported", F.lit(False)).alias("peer_supported"),
     )
 
 

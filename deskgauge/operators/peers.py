@@ -6,10 +6,14 @@ count, sum and sum of squares per outcome; pool cells are sums of those, and lea
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from deskgauge.functions import intervals
 from deskgauge.functions.keys import FULL_PERIOD, PERIOD, join_null_safe, pool_label
@@ -38,6 +42,12 @@ _CELLS = {
     "q4": "cq", "q5": "q",
     "m1": "cpfm", "m2": "cpm", "m4": "cm", "m5": "m",
 }
+# the columns in which the totals of all kinds of cells are kept: quarter and month share one
+_TOTAL_KEYS = {"c": "channel", "p": "priority", "qm": "time", "f": "family"}
+_SLICES = {"all": (FULL_PERIOD, None), "quarter": ("quarter", "reporting_quarter"), "month": ("month", "reporting_month")}
+#: Agents of a pool in one part, and the number of parts that all pools are dealt over.
+PART_AGENTS = 512
+PARTS = 4096
 _LOOKUPS = {
     "all": ((1, "a1"), (2, "a2"), (3, "a3"), (4, "a4"), (5, "a5")),
     "quarter": ((1, "a1"), (2, "a2"), (4, "q4"), (5, "q5")),
@@ -88,10 +98,6 @@ def _present(name: str) -> Column:
     return F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit("(missing)"))
 
 
-def _cell_key(cell: str) -> Column:
-    return F.concat_ws("\u0001", F.lit(cell), *[_present(_MIX[x]) for x in _CELLS[cell]])
-
-
 def _fine_cells(rows: DataFrame, outcomes: Sequence[Outcome]) -> DataFrame:
     """One row per assignment x mix x month with count, sum and sum of squares of each outcome about its centre.
 
@@ -114,64 +120,196 @@ def _fine_cells(rows: DataFrame, outcomes: Sequence[Outcome]) -> DataFrame:
     return fine.withColumns(columns).drop(*[f"{p}_{o.name}" for o in outcomes for p in ("mean", "var")])
 
 
-def _supported(cell: Column, spec: PeerSpec) -> Column:
-    return (cell["n"] >= spec.min_cell_observations) & (cell["agents"] >= spec.min_cell_agents)
-
-
-def _left_out_cells(
-    fine: DataFrame, outcomes: Sequence[Outcome], pools: DataFrame, spec: PeerSpec = PeerSpec()
-) -> DataFrame:
-    """Per pool cell and agent: count, mean, variance and number of agents of everybody else.
+def _parts(fine: DataFrame, groups: DataFrame) -> DataFrame:
+    """The fine cells of each pool in use that an assignment belongs to or is compared with, with the part they fall into.
 
-    Only pools that some assignment is compared with are built, and only cells with support for some outcome are kept;
-    the cells without work mix stay in any case, because they also tell the size of the pool.
+    A pool is divided by agent into ``buckets``, which are dealt over a fixed number of parts, so a part holds all cells
+    of an agent in a pool and about as many agents whatever the sizes of the pools.
     """
-    # the filter keeps this reader of the fine cells identical to the other one up to the shuffle, so facts are read once
-    members = fine.filter("tickets > 0").withColumn("pool", F.explode(pool_membership()))
-    members = members.join(pools, "pool", "left_semi")
-    cells = members.withColumn("cell", F.explode(F.array(*[_cell_key(c) for c in _CELLS])))
-    own = cells.groupBy("pool", "cell", "agent_id").agg(
-        *[F.sum(f"{p}_{o.name}").alias(f"{p}_{o.name}") for o in outcomes for p in ("n", "s", "q")]
+    in_use = groups.filter("comparison_group is not null").groupBy(F.col("comparison_group").alias("pool"))
+    pools = in_use.agg(F.ceil(F.max("peer_agent_count") / PART_AGENTS).alias("buckets"))
+    labels = F.array_union(F.array("comparison_group"), pool_membership())
+    rows = fine.withColumn("inside", F.array_contains(pool_membership(), F.col("comparison_group")))
+    rows = rows.withColumn("pool", F.explode(labels)).join(pools, "pool", "left")
+    focal = F.col("pool").eqNullSafe(F.col("comparison_group"))
+    rows = rows.withColumns({"focal": focal, "member": F.col("buckets").isNotNull() & (F.coalesce("inside", F.lit(False)) | ~focal)})
+    rows = rows.filter("focal or member").withColumns(
+        {
+            "buckets": F.greatest(F.lit(1), F.least(F.col("buckets"), F.lit(PARTS))).cast("int"),
+            **{x: F.nullif(F.col(x), F.lit("")) for x in ("reporting_quarter", "reporting_month")},
+            **{x: _present(x) for x in ("channel", "priority", "product_family")},
+        }
     )
-    pool = Window.partitionBy("pool", "cell")
-    stats = []
-    for o in outcomes:
-        n, s, q = F.col(f"n_{o.name}"), F.col(f"s_{o.name}"), F.col(f"q_{o.name}")
-        rest_n = F.sum(n).over(pool) - n
-        rest_mean = F.try_divide(F.sum(s).over(pool) - s, rest_n)
-        spread = F.sum(q).over(pool) - q - rest_n * rest_mean * rest_mean
-        agents = F.count_if(n > 0).over(pool) - F.when(n > 0, 1).otherwise(0)
-        stats.append(
-            F.struct(
-                rest_n.alias("n"),
-                rest_mean.alias("mean"),
-                F.when(rest_n > 1, F.greatest(spread, F.lit(0.0)) / (rest_n - 1)).otherwise(0.0).alias("var"),
-                agents.alias("agents"),
-            ).alias(f"loo_{o.name}")
-        )
-    left_out = own.select("pool", "cell", F.col("agent_id").alias("cell_agent"), *stats)
-    keep = F.substring("cell", 2, 1) == str(len(STRATA))
-    for o in outcomes:
-        keep = keep | _supported(F.col(f"loo_{o.name}"), spec)
-    return left_out.filter(keep)
+    agent = F.xxhash64("agent_id")
+    part = F.when(F.col("pool").isNull(), F.pmod(agent, F.lit(PARTS))).otherwise(_part(F.pmod(agent, F.col("buckets"))))
+    return rows.withColumn("part", part.cast("int")).drop("inside")
 
 
-def _slice_lookups() -> Column:
-    """For each period slice of a fine cell, the (level, cell) pairs to try."""
-    slices = {
-        "all": (F.lit(FULL_PERIOD), F.lit("all")),
-        "quarter": (F.lit("quarter"), F.nullif(F.col("reporting_quarter"), F.lit(""))),
-        "month": (F.lit("month"), F.nullif(F.col("reporting_month"), F.lit(""))),
-    }
-    # built without lambdas so that it stays in generated code; absent periods are filtered after the explode
-    entries = [
-        F.struct(
-            kind.alias("period_type"), period.alias("period"), F.lit(level).alias("level"), _cell_key(cell).alias("cell")
-        )
-        for name, (kind, period) in slices.items()
-        for level, cell in _LOOKUPS[name]
-    ]
-    return F.array(*entries)
+def _part(bucket: Column) -> Column:
+    return F.pmod(F.xxhash64("pool") % PARTS + bucket, F.lit(PARTS))
+
+
+def _moments(outcomes: Sequence[Outcome]) -> list[str]:
+    return [f"{p}_{o.name}" for o in outcomes for p in ("n", "s", "q", "a")]
+
+
+def _column(table: pa.Table, name: str) -> pa.Array:
+    column = table.column(name)
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+def _dense(*columns: pa.Array) -> tuple[np.ndarray, int]:
+    """Numbers from 0 for the values of some columns, one behind the other."""
+    found = pa.concat_arrays(columns).dictionary_encode(null_encoding="encode")
+    return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(found.dictionary))
+
+
+def _combined(*columns: tuple[np.ndarray, int]) -> tuple[np.ndarray, int]:
+    """Numbers from 0 for the combinations of some columns of such numbers."""
+    code, size = columns[0]
+    for other, width in columns[1:]:
+        code, size = _dense(pa.array(code * width + other))
+    return code, size
+
+
+def _row_of(code: np.ndarray, size: int) -> np.ndarray:
+    """Some row of each number."""
+    rows = np.zeros(size, np.int64)
+    rows[code] = np.arange(len(code))
+    return rows
+
+
+def _pool_totals(outcomes: Sequence[Outcome]):
+    """Per part: count, sum, sum of squares and number of agents of each pool cell."""
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.filter(part.column("member"))
+        if not len(part):
+            return _empty(run.schema)
+        agent = _dense(_column(part, "agent_id"))
+        mix = {x: _dense(_column(part, name)) for x, name in {"pool": "pool", **_MIX}.items()}
+        values = {f"{p}_{o.name}": _column(part, f"{p}_{o.name}").to_numpy() for o in outcomes for p in ("n", "s", "q")}
+        tables = []
+        for kind, cell in enumerate(_CELLS.values()):
+            code, size = _combined(mix["pool"], *[mix[x] for x in cell])
+            own, pairs = _combined((code, size), agent)
+            of_pair, rows = code[_row_of(own, pairs)], pa.array(_row_of(code, size))
+            found = {"pool": part.column("pool").take(rows), "buckets": part.column("buckets").take(rows)}
+            found["kind"] = pa.array(np.full(size, kind, np.int32))
+            for x, name in _TOTAL_KEYS.items():
+                held = next((c for c in cell if c in x), None)
+                found[name] = part.column(_MIX[held]).take(rows) if held else pa.nulls(size, pa.string())
+            for o in outcomes:
+                n = values[f"n_{o.name}"]
+                some = np.bincount(own, n, pairs) > 0
+                found[f"n_{o.name}"] = np.bincount(code, n, size).astype(np.int64)
+                found[f"s_{o.name}"] = np.bincount(code, values[f"s_{o.name}"], size)
+                found[f"q_{o.name}"] = np.bincount(code, values[f"q_{o.name}"], size)
+                found[f"a_{o.name}"] = np.bincount(of_pair, some, size).astype(np.int64)
+            names = ["pool", "buckets", "kind", *_TOTAL_KEYS.values(), *_moments(outcomes)]
+            tables.append(pa.table({name: found[name] for name in names}))
+        return pa.concat_tables(tables)
+
+    return run
+
+
+def _empty(schema: StructType) -> pa.Table:
+    return to_arrow_schema(schema).empty_table()
+
+
+def _slice_sums(outcomes: Sequence[Outcome], spec: PeerSpec, keys: Sequence[str]):
+    """Per part and its pool totals: the sums of :func:`adjusted_agent_metrics` per assignment and period.
+
+    Own cells are subtracted from the pool's; a fine cell takes the first stratum that the rest supports.
+    """
+
+    def run(part: pa.Table, totals: pa.Table) -> pa.Table:
+        rows = len(part)
+        focal = np.flatnonzero(_column(part, "focal").to_numpy(zero_copy_only=False))
+        if not len(focal):
+            return _empty(run.schema)
+        member = _column(part, "member").to_numpy(zero_copy_only=False).astype(np.float64)
+        agent = _dense(_column(part, "agent_id"))
+        mix = {"pool": _dense(_column(part, "pool"), _column(totals, "pool"))}
+        for x, name in _MIX.items():
+            held = next(t for key, t in _TOTAL_KEYS.items() if x in key)
+            mix[x] = _dense(_column(part, name), _column(totals, held))
+        own_values = {f"{p}_{o.name}": _column(part, f"{p}_{o.name}").to_numpy() for o in outcomes for p in ("n", "s", "q")}
+        pool_values = {m: _column(totals, m).to_numpy() for m in _moments(outcomes)}
+        kinds = _column(totals, "kind").to_numpy()
+        chosen = {
+            (name, o.name): [np.zeros(len(focal), np.int8), np.zeros(len(focal)), np.zeros(len(focal))]
+            for name in _LOOKUPS
+            for o in outcomes
+        }
+        whole = {}
+        for kind, (cell, parts) in enumerate(_CELLS.items()):
+            there = np.flatnonzero(kinds == kind)
+            at = np.concatenate([np.arange(rows), rows + there])
+            code, size = _combined(*[(mix[x][0][at], mix[x][1]) for x in ("pool", *parts)])
+            mine, pool_cell = code[:rows], code[rows:]
+            pair, pairs = _combined((mine, size), agent)
+            here, own = mine[focal], pair[focal]
+            known = (np.bincount(pair, member, pairs) > 0)[own]
+            uses = [(name, level) for name, tried in _LOOKUPS.items() for level, c in tried if c == cell]
+            for o in outcomes:
+                left = {}
+                for p in ("n", "s", "q", "a"):
+                    total = np.zeros(size)
+                    total[pool_cell] = pool_values[f"{p}_{o.name}"][there]
+                    left[p] = total[here]
+                    if p != "a":
+                        mine_of = np.bincount(pair, own_values[f"{p}_{o.name}"] * member, pairs)[own]
+                        left["a0"] = mine_of > 0 if p == "n" else left["a0"]
+                        left[p] = left[p] - mine_of
+                n, agents = left["n"], left["a"] - left["a0"]
+                mean = left["s"] / np.maximum(n, 1)
+                spread = np.maximum(left["q"] - n * mean * mean, 0.0)
+                error = np.where(n > 1, spread / np.maximum(n - 1, 1), 0.0) / np.maximum(n, 1)
+                enough = known & (n >= spec.min_cell_observations) & (agents >= spec.min_cell_agents)
+                for name, level in uses:
+                    first = enough & (chosen[name, o.name][0] == 0)
+                    for held, value in zip(chosen[name, o.name], (level, mean, error), strict=True):
+                        np.copyto(held, value, where=first, casting="unsafe")
+                    if level == len(STRATA):
+                        whole[name, o.name] = np.where(known, n, 0), np.where(known, agents, 0)
+        compared = part.take(pa.array(focal))
+        asg = _combined(*[_dense(_column(compared, k)) for k in keys])
+        tickets = _column(compared, "tickets").to_numpy()
+        tables = []
+        for name, (kind, period) in _SLICES.items():
+            shown = _column(compared, period) if period else pa.array(["all"] * len(focal), pa.string())
+            inside = np.flatnonzero(shown.is_valid().to_numpy(zero_copy_only=False))
+            if not len(inside):
+                continue
+            when, width = _dense(shown)
+            code, size = _combined((asg[0][inside], asg[1]), (when[inside], width))
+            rep = pa.array(inside[_row_of(code, size)])
+
+            def add(values: np.ndarray, code=code, size=size, inside=inside) -> np.ndarray:
+                return np.bincount(code, values[inside], size)
+
+            def most(values: np.ndarray, code=code, size=size, inside=inside) -> np.ndarray:
+                found = np.zeros(size)
+                np.maximum.at(found, code, values[inside])
+                return found.astype(np.int64)
+
+            columns = [*[_column(compared, k).take(rep) for k in keys], pa.array([kind] * size, pa.string()), shown.take(rep)]
+            columns.append(pa.array(add(tickets).astype(np.int64)))
+            for o in outcomes:
+                n, s, q = (own_values[f"{p}_{o.name}"][focal] for p in ("n", "s", "q"))
+                level, mean, error = chosen[name, o.name]
+                matched = level > 0
+                covered = add(n * matched).astype(np.int64)
+                none = covered == 0
+                columns += [pa.array(add(n).astype(np.int64)), pa.array(add(s)), pa.array(add(q)), pa.array(covered)]
+                columns += [pa.array(add(v), mask=none) for v in (s * matched, q * matched, n * mean, n * error)]
+                columns += [pa.array(most(v)) for v in whole[name, o.name]]
+                columns += [pa.array(add(n * (level == i + 1)).astype(np.int64)) for i in range(len(STRATA))]
+            tables.append(pa.Table.from_arrays(columns, names=run.schema.names))
+        return pa.concat_tables(tables) if tables else _empty(run.schema)
+
+    return run
 
 
 def adjusted_agent_metrics(
@@ -179,60 +317,45 @@ def adjusted_agent_metrics(
     spec: PeerSpec = PeerSpec(),
     outcomes: Sequence[Outcome] = OUTCOMES,
     peer_groups: DataFrame | None = None,
+    store: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Observed minus leave-one-agent-out expected outcome per assignment and period slice.
 
     Every eligible ticket gets the mean of the first stratum with enough peer tickets from enough other agents;
     tickets without such a stratum count against coverage. ``peer_groups`` tells cheaply which pools are in use;
     without it they are read off the rows.
+
+    The fine cells are shuffled once, by parts of pools. Each part adds up its pool cells; those totals are summed over the
+    parts of a pool and sent back to each of them, where own cells are subtracted. ``store`` writes the fine cells and reads
+    them back: without it adaptive execution may plan their two readers differently, and facts are then read twice.
     """
     fine = _fine_cells(rows, outcomes)
-    groups = fine if peer_groups is None else peer_groups
-    pools = groups.filter("comparison_group is not null").select(F.col("comparison_group").alias("pool")).distinct()
-    loo = _left_out_cells(fine, outcomes, pools, spec)
-    # Cells of one agent are few and every later key holds the agent, so one shuffle by agent, made before the lookups
-    # multiply the cells, serves the lookup and both aggregations. The lookup is a window over the union of both sides:
-    # a join would insist on a shuffle by all of its keys.
-    stats = [f"loo_{o.name}" for o in outcomes]
-    tried = fine.repartition("agent_id").select(
-        "*", F.col("comparison_group").alias("pool"), F.inline(_slice_lookups())
-    ).filter("period is not null")
-    found = loo.select(F.col("cell_agent").alias("agent_id"), "pool", "cell", *stats).repartition("agent_id")
-    both = tried.unionByName(found, allowMissingColumns=True)
-    same = Window.partitionBy("agent_id", "pool", "cell")
-    joined = both.withColumns({c: F.max(c).over(same) for c in stats}).filter("level is not null")
-    # a lookup that found nothing says nothing; the last level stays so that every ticket keeps a row in every slice
-    some = F.coalesce(*[F.col(c)["n"] for c in stats]).isNotNull()
-    joined = joined.filter((F.col("level") == len(STRATA)) | some)
-    picks = []
-    for o in outcomes:
-        cell = F.col(f"loo_{o.name}")
-        level = F.when(_supported(cell, spec), F.col("level"))
-        picks += [
-            F.min(level).alias(f"level_{o.name}"),
-            *[F.min_by(cell[x], level).alias(f"{x}_of_{o.name}") for x in ("n", "mean", "var")],
-            F.max(F.when(F.col("level") == len(STRATA), cell["n"])).alias(f"peers_{o.name}"),
-            F.max(F.when(F.col("level") == len(STRATA), cell["agents"])).alias(f"agents_{o.name}"),
-            *[F.max(f"{p}_{o.name}").alias(f"{p}_{o.name}") for p in ("n", "s", "q")],
-        ]
+    fine = store(fine) if store else fine
+    # both readers take all columns, so they share one shuffle
+    parts = _parts(fine, fine if peer_groups is None else peer_groups)
+    total_keys = ["pool", "buckets", "kind", *_TOTAL_KEYS.values()]
+    types = {"n": "bigint", "s": "double", "q": "double", "a": "bigint"}
+    measures = ", ".join(f"{m} {types[m[0]]}" for m in _moments(outcomes))
+    shape = f"pool string, buckets int, kind int, {', '.join(f'{t} string' for t in _TOTAL_KEYS.values())}, {measures}"
+    add = _pool_totals(outcomes)
+    add.schema = StructType.fromDDL(shape)
+    totals = parts.groupBy("part").applyInArrow(add, add.schema)
+    totals = totals.groupBy(*total_keys).agg(*[F.sum(m).alias(m) for m in _moments(outcomes)])
+    bucket = F.explode(F.sequence(F.lit(0), F.col("buckets") - 1))
+    totals = totals.withColumn("bucket", bucket).withColumn("part", _part(F.col("bucket")).cast("int")).drop("bucket")
     keys = [*ASSIGNMENT, *_PEER_FIELDS, *PERIOD]
-    chosen = joined.groupBy(*keys, *_MIX.values()).agg(F.max("tickets").alias("tickets"), *picks)
-    sums = [F.sum("tickets").alias("ticket_count")]
+    kept = StructType([f for f in parts.select(*ASSIGNMENT, *_PEER_FIELDS).schema.fields])
+    sums = ["ticket_count bigint"]
     for o in outcomes:
         k = o.name
-        n, s, q, level = F.col(f"n_{k}"), F.col(f"s_{k}"), F.col(f"q_{k}"), F.col(f"level_{k}")
-        matched = level.isNotNull()
-        expected, variance = n * F.col(f"mean_of_{k}"), n * F.col(f"var_of_{k}") / F.col(f"n_of_{k}")
-        sums += [
-            F.sum(n).alias(f"n_{k}"), F.sum(s).alias(f"s_{k}"), F.sum(q).alias(f"q_{k}"),
-            F.coalesce(F.sum(F.when(matched, n)), F.lit(0)).alias(f"cov_{k}"),
-            F.sum(F.when(matched, s)).alias(f"sm_{k}"), F.sum(F.when(matched, q)).alias(f"qm_{k}"),
-            F.sum(F.when(matched, expected)).alias(f"exp_{k}"), F.sum(F.when(matched, variance)).alias(f"evar_{k}"),
-            F.coalesce(F.max(f"peers_{k}"), F.lit(0)).alias(f"peers_{k}"),
-            F.coalesce(F.max(f"agents_{k}"), F.lit(0)).alias(f"agents_{k}"),
-            *[F.coalesce(F.sum(F.when(level == i + 1, n)), F.lit(0)).alias(f"l{i}_{k}") for i in range(len(STRATA))],
-        ]
-    return _estimates(chosen.groupBy(*keys).agg(*sums), keys, spec, outcomes)
+        sums += [f"n_{k} bigint", f"s_{k} double", f"q_{k} double", f"cov_{k} bigint"]
+        sums += [f"{p}_{k} double" for p in ("sm", "qm", "exp", "evar")]
+        sums += [f"{p}_{k} bigint" for p in ("peers", "agents", *[f"l{i}" for i in range(len(STRATA))])]
+    rest = StructType.fromDDL(f"period_type string, period string, {', '.join(sums)}")
+    compare = _slice_sums(outcomes, spec, [*ASSIGNMENT, *_PEER_FIELDS])
+    compare.schema = StructType([*kept.fields, *rest.fields])
+    found = parts.groupBy("part").cogroup(totals.groupBy("part")).applyInArrow(compare, compare.schema)
+    return _estimates(found, keys, spec, outcomes)
 
 
 def _estimates(sums: DataFrame, keys: Sequence[str], spec: PeerSpec, outcomes: Sequence[Outcome]) -> DataFrame:

@@ -160,14 +160,20 @@ _ADJ_K = "period_type period comparison_group peer_fallback_level " + " ".join(
 )
 
 
+def peer_groups_table(spark, sf):
+    """The peer groups as a written stage: small, and read with its known size."""
+    return staged(spark, sf, "peer_groups", lambda spark, sf: peers.build_peer_groups(supplier_roster(spark, sf)))
+
+
 def grouped_items(spark, sf):
     roster = supplier_roster(spark, sf)
     return link.attach_peer_groups(work_items(spark, sf), peers.build_peer_groups(roster))
 
 
 def adjusted(spark, sf):
-    groups = peers.build_peer_groups(supplier_roster(spark, sf))
-    return peers.adjusted_agent_metrics(grouped_items(spark, sf), peer_groups=groups)
+    groups = peer_groups_table(spark, sf)
+    store = lambda fine: staged(spark, sf, "peer_cells", lambda *_: fine)
+    return peers.adjusted_agent_metrics(grouped_items(spark, sf), peer_groups=groups, store=store)
 
 
 def adjusted_table(spark, sf):

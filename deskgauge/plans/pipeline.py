@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -169,9 +170,9 @@ class Pipeline:
         rows = link.add_product_family(t["ticket_metrics"], t["normalized_products"])
         rows = self.store("enriched_tickets", link.attach_peer_groups(rows, groups))
         mixed = self.store("case_mix_metrics", mix.case_mix_metrics(rows))
-        adjusted = self.store(
-            "adjusted_agent_metrics", peers.adjusted_agent_metrics(rows, self.config.peers, peer_groups=groups)
-        )
+        cells = partial(self.store, "peer_cells")
+        adjusted = peers.adjusted_agent_metrics(rows, self.config.peers, peer_groups=groups, store=cells)
+        adjusted = self.store("adjusted_agent_metrics", adjusted)
         stable = self.store("stability_metrics", stability.assess_adjusted_stability(adjusted))
         compared = self.store("agent_comparison", peers.agent_comparison(adjusted, stable, mixed))
         self.store("case_mix_ranges", mix.case_mix_ranges(mixed))
