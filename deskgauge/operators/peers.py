@@ -120,8 +120,17 @@ def _fine_cells(rows: DataFrame, outcomes: Sequence[Outcome]) -> DataFrame:
     return fine.withColumns(columns).drop(*[f"{p}_{o.name}" for o in outcomes for p in ("mean", "var")])
 
 
-def _parts(fine: DataFrame, groups: DataFrame) -> DataFrame:
-    """The fine cells of each pool in use that an assignment belongs to or is compared with, with the part they fall into.
+def _cell_lists(fine: DataFrame, outcomes: Sequence[Outcome]) -> DataFrame:
+    """One row per assignment with the list of its fine cells, which a part holds at once anyway."""
+    mix = {x: F.nullif(F.col(x), F.lit("")) for x in ("reporting_quarter", "reporting_month")}
+    mix |= {x: _present(x) for x in ("channel", "priority", "product_family")}
+    sums = [f"{p}_{o.name}" for o in outcomes for p in ("n", "s", "q")]
+    cell = F.struct(*[mix[x].alias(x) for x in _MIX.values()], "tickets", *sums)
+    return fine.groupBy(*ASSIGNMENT, *_PEER_FIELDS).agg(F.collect_list(cell).alias("cells"))
+
+
+def _parts(lists: DataFrame, groups: DataFrame) -> DataFrame:
+    """The cell lists of each pool in use that an assignment belongs to or is compared with, with the part they fall into.
 
     A pool is divided by agent into ``buckets``, which are dealt over a fixed number of parts, so a part holds all cells
     of an agent in a pool and about as many agents whatever the sizes of the pools.
@@ -129,17 +138,12 @@ def _parts(fine: DataFrame, groups: DataFrame) -> DataFrame:
     in_use = groups.filter("comparison_group is not null").groupBy(F.col("comparison_group").alias("pool"))
     pools = in_use.agg(F.ceil(F.max("peer_agent_count") / PART_AGENTS).alias("buckets"))
     labels = F.array_union(F.array("comparison_group"), pool_membership())
-    rows = fine.withColumn("inside", F.array_contains(pool_membership(), F.col("comparison_group")))
+    rows = lists.withColumn("inside", F.array_contains(pool_membership(), F.col("comparison_group")))
     rows = rows.withColumn("pool", F.explode(labels)).join(pools, "pool", "left")
     focal = F.col("pool").eqNullSafe(F.col("comparison_group"))
     rows = rows.withColumns({"focal": focal, "member": F.col("buckets").isNotNull() & (F.coalesce("inside", F.lit(False)) | ~focal)})
-    rows = rows.filter("focal or member").withColumns(
-        {
-            "buckets": F.greatest(F.lit(1), F.least(F.col("buckets"), F.lit(PARTS))).cast("int"),
-            **{x: F.nullif(F.col(x), F.lit("")) for x in ("reporting_quarter", "reporting_month")},
-            **{x: _present(x) for x in ("channel", "priority", "product_family")},
-        }
-    )
+    buckets = F.greatest(F.lit(1), F.least(F.col("buckets"), F.lit(PARTS))).cast("int")
+    rows = rows.filter("focal or member").withColumn("buckets", buckets)
     agent = F.xxhash64("agent_id")
     part = F.when(F.col("pool").isNull(), F.pmod(agent, F.lit(PARTS))).otherwise(_part(F.pmod(agent, F.col("buckets"))))
     return rows.withColumn("part", part.cast("int")).drop("inside")
@@ -165,13 +169,30 @@ def _dense(*columns: pa.Array) -> tuple[np.ndarray, int]:
 
 
 def _combined(*columns: tuple[np.ndarray, int]) -> tuple[np.ndarray, int]:
-    """Numbers from 0 for the combinations of some columns of such numbers."""
+    """Numbers for the combinations of some columns of such numbers; not all below the size need to occur."""
     code, size = columns[0]
     for other, width in columns[1:]:
-        code, size = _dense(pa.array(code * width + other))
+        code, size = code * width + other, size * width
+        if size > 2 * len(code) + 1024:
+            code, size = _dense(pa.array(code))
     return code, size
 
 
+def _numbered(*columns: tuple[np.ndarray, int]) -> tuple[np.ndarray, int]:
+    """Numbers from 0, which all occur, for the combinations of some columns of numbers."""
+    code, size = _combined(*columns)
+    seen = np.zeros(size, bool)
+    seen[code] = True
+    return (np.cumsum(seen) - 1)[code], int(seen.sum())
+
+
+def _cells_of(part: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """The cells of all lists of a part, and the row of each."""
+    lists = _column(part, "cells")
+    owner = np.repeat(np.arange(len(part)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    return pa.Table.from_struct_array(lists.flatten()), owner
+
+
 def _row_of(code: np.ndarray, size: int) -> np.ndarray:
     """Some row of each number."""
     rows = np.zeros(size, np.int64)
@@ -186,19 +207,22 @@ def _pool_totals(outcomes: Sequence[Outcome]):
         part = part.filter(part.column("member"))
         if not len(part):
             return _empty(run.schema)
-        agent = _dense(_column(part, "agent_id"))
-        mix = {x: _dense(_column(part, name)) for x, name in {"pool": "pool", **_MIX}.items()}
-        values = {f"{p}_{o.name}": _column(part, f"{p}_{o.name}").to_numpy() for o in outcomes for p in ("n", "s", "q")}
+        cells, owner = _cells_of(part)
+        agent, pool = (_of_cells(_dense(_column(part, name)), owner) for name in ("agent_id", "pool"))
+        mix = {x: _dense(_column(cells, name)) for x, name in _MIX.items()}
+        values = {f"{p}_{o.name}": _column(cells, f"{p}_{o.name}").to_numpy() for o in outcomes for p in ("n", "s", "q")}
         tables = []
         for kind, cell in enumerate(_CELLS.values()):
-            code, size = _combined(mix["pool"], *[mix[x] for x in cell])
+            code, size = _numbered(pool, *[mix[x] for x in cell])
             own, pairs = _combined((code, size), agent)
-            of_pair, rows = code[_row_of(own, pairs)], pa.array(_row_of(code, size))
+            of_pair, at = code[_row_of(own, pairs)], _row_of(code, size)
+            rows = pa.array(owner[at])
             found = {"pool": part.column("pool").take(rows), "buckets": part.column("buckets").take(rows)}
+            rows = pa.array(at)
             found["kind"] = pa.array(np.full(size, kind, np.int32))
             for x, name in _TOTAL_KEYS.items():
                 held = next((c for c in cell if c in x), None)
-                found[name] = part.column(_MIX[held]).take(rows) if held else pa.nulls(size, pa.string())
+                found[name] = cells.column(_MIX[held]).take(rows) if held else pa.nulls(size, pa.string())
             for o in outcomes:
                 n = values[f"n_{o.name}"]
                 some = np.bincount(own, n, pairs) > 0
@@ -213,6 +237,10 @@ def _pool_totals(outcomes: Sequence[Outcome]):
     return run
 
 
+def _of_cells(numbers: tuple[np.ndarray, int], owner: np.ndarray) -> tuple[np.ndarray, int]:
+    return numbers[0][owner], numbers[1]
+
+
 def _empty(schema: StructType) -> pa.Table:
     return to_arrow_schema(schema).empty_table()
 
@@ -224,17 +252,19 @@ def _slice_sums(outcomes: Sequence[Outcome], spec: PeerSpec, keys: Sequence[str]
     """
 
     def run(part: pa.Table, totals: pa.Table) -> pa.Table:
-        rows = len(part)
-        focal = np.flatnonzero(_column(part, "focal").to_numpy(zero_copy_only=False))
-        if not len(focal):
+        compares = _column(part, "focal").to_numpy(zero_copy_only=False)
+        if not compares.any():
             return _empty(run.schema)
-        member = _column(part, "member").to_numpy(zero_copy_only=False).astype(np.float64)
-        agent = _dense(_column(part, "agent_id"))
-        mix = {"pool": _dense(_column(part, "pool"), _column(totals, "pool"))}
+        cells, owner = _cells_of(part)
+        rows, focal = len(cells), np.flatnonzero(compares[owner])
+        member = _column(part, "member").to_numpy(zero_copy_only=False).astype(np.float64)[owner]
+        agent = _of_cells(_dense(_column(part, "agent_id")), owner)
+        pools, width = _dense(_column(part, "pool"), _column(totals, "pool"))
+        mix = {"pool": (np.concatenate([pools[: len(part)][owner], pools[len(part) :]]), width)}
         for x, name in _MIX.items():
             held = next(t for key, t in _TOTAL_KEYS.items() if x in key)
-            mix[x] = _dense(_column(part, name), _column(totals, held))
-        own_values = {f"{p}_{o.name}": _column(part, f"{p}_{o.name}").to_numpy() for o in outcomes for p in ("n", "s", "q")}
+            mix[x] = _dense(_column(cells, name), _column(totals, held))
+        own_values = {f"{p}_{o.name}": _column(cells, f"{p}_{o.name}").to_numpy() for o in outcomes for p in ("n", "s", "q")}
         pool_values = {m: _column(totals, m).to_numpy() for m in _moments(outcomes)}
         kinds = _column(totals, "kind").to_numpy()
         chosen = {
@@ -242,8 +272,10 @@ def _slice_sums(outcomes: Sequence[Outcome], spec: PeerSpec, keys: Sequence[str]
             for name in _LOOKUPS
             for o in outcomes
         }
-        whole = {}
-        for kind, (cell, parts) in enumerate(_CELLS.items()):
+        nobody = np.zeros(len(focal)), np.zeros(len(focal))
+        whole = {key: nobody for key in chosen}
+        # without members there is nothing to compare with
+        for kind, (cell, parts) in enumerate(_CELLS.items() if member.any() else ()):
             there = np.flatnonzero(kinds == kind)
             at = np.concatenate([np.arange(rows), rows + there])
             code, size = _combined(*[(mix[x][0][at], mix[x][1]) for x in ("pool", *parts)])
@@ -273,18 +305,18 @@ def _slice_sums(outcomes: Sequence[Outcome], spec: PeerSpec, keys: Sequence[str]
                         np.copyto(held, value, where=first, casting="unsafe")
                     if level == len(STRATA):
                         whole[name, o.name] = np.where(known, n, 0), np.where(known, agents, 0)
-        compared = part.take(pa.array(focal))
-        asg = _combined(*[_dense(_column(compared, k)) for k in keys])
-        tickets = _column(compared, "tickets").to_numpy()
+        asg = _of_cells(_numbered(*[_dense(_column(part, k)) for k in keys]), owner[focal])
+        tickets = _column(cells, "tickets").to_numpy()[focal]
         tables = []
         for name, (kind, period) in _SLICES.items():
-            shown = _column(compared, period) if period else pa.array(["all"] * len(focal), pa.string())
+            shown = _column(cells, period).take(pa.array(focal)) if period else pa.repeat("all", len(focal))
             inside = np.flatnonzero(shown.is_valid().to_numpy(zero_copy_only=False))
             if not len(inside):
                 continue
             when, width = _dense(shown)
-            code, size = _combined((asg[0][inside], asg[1]), (when[inside], width))
-            rep = pa.array(inside[_row_of(code, size)])
+            code, size = _numbered((asg[0][inside], asg[1]), (when[inside], width))
+            at = inside[_row_of(code, size)]
+            shows, rep = pa.array(owner[focal[at]]), pa.array(at)
 
             def add(values: np.ndarray, code=code, size=size, inside=inside) -> np.ndarray:
                 return np.bincount(code, values[inside], size)
@@ -294,7 +326,7 @@ def _slice_sums(outcomes: Sequence[Outcome], spec: PeerSpec, keys: Sequence[str]
                 np.maximum.at(found, code, values[inside])
                 return found.astype(np.int64)
 
-            columns = [*[_column(compared, k).take(rep) for k in keys], pa.array([kind] * size, pa.string()), shown.take(rep)]
+            columns = [*[_column(part, k).take(shows) for k in keys], pa.array([kind] * size, pa.string()), shown.take(rep)]
             columns.append(pa.array(add(tickets).astype(np.int64)))
             for o in outcomes:
                 n, s, q = (own_values[f"{p}_{o.name}"][focal] for p in ("n", "s", "q"))
@@ -325,14 +357,15 @@ def adjusted_agent_metrics(
     tickets without such a stratum count against coverage. ``peer_groups`` tells cheaply which pools are in use;
     without it they are read off the rows.
 
-    The fine cells are shuffled once, by parts of pools. Each part adds up its pool cells; those totals are summed over the
-    parts of a pool and sent back to each of them, where own cells are subtracted. ``store`` writes the fine cells and reads
-    them back: without it adaptive execution may plan their two readers differently, and facts are then read twice.
+    The fine cells, as one list per assignment, are shuffled once, by parts of pools. Each part adds up its pool cells; those
+    totals are summed over the parts of a pool and sent back to each of them, where own cells are subtracted. ``store`` writes
+    the lists and reads them back: without it adaptive execution may plan their two readers differently, and facts are then
+    read twice.
     """
-    fine = _fine_cells(rows, outcomes)
-    fine = store(fine) if store else fine
+    lists = _cell_lists(_fine_cells(rows, outcomes), outcomes)
+    lists = store(lists) if store else lists
     # both readers take all columns, so they share one shuffle
-    parts = _parts(fine, fine if peer_groups is None else peer_groups)
+    parts = _parts(lists, lists if peer_groups is None else peer_groups)
     total_keys = ["pool", "buckets", "kind", *_TOTAL_KEYS.values()]
     types = {"n": "bigint", "s": "double", "q": "double", "a": "bigint"}
     measures = ", ".join(f"{m} {types[m[0]]}" for m in _moments(outcomes))

@@ -9,6 +9,7 @@ import pytest
 
 from deskgauge.operators import link, peers
 from deskgauge.params import ASSIGNMENT, PeerSpec
+from deskgauge.plans.catalog import configure
 
 MIX = ("channel", "priority", "reporting_quarter", "reporting_month", "product_family")
 LEVELS = {
@@ -123,3 +124,18 @@ def test_peer_groups_do_not_move_tickets_again(spark, tmp_path):
     known = {(a, t): fine if t == "t" else tier for a, t in roster}
     assert got == {(a, t, f): known.get((a, t)) if f == "matched" else None for a, t, *_, f in rows}
     assert "coalesce(agent_from_date" not in plan
+
+
+def test_cells_travel_as_one_list_per_assignment(spark):
+    rows, kept = _tickets(), []
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], SCHEMA)
+    peers.adjusted_agent_metrics(df, PeerSpec(), store=lambda cells: kept.append(cells) or cells)
+    assert kept[0].count() == len({(*[r[k] for k in ASSIGNMENT], r["comparison_group"]) for r in rows})
+    assert sum(c.tickets for r in kept[0].collect() for c in r.cells) == len(rows)
+
+
+def test_wide_projections_are_left_to_compiled_code(spark):
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    configure(spark)
+    # HotSpot leaves methods above 8,000 bytes interpreted; below Spark's own limit it would still run them
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
