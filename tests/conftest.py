@@ -11,4 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from oracle import make_spark
 
-    return make_spark()
+    session = make_spark()
+    # plans name whole paths, however long the folder of the tests is
+    session.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    return session
