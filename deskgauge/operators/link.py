@@ -201,21 +201,22 @@ def attach_peer_groups(tickets: DataFrame, peer_groups: DataFrame) -> DataFrame:
     fields = ("comparison_group", "peer_fallback_level", "peer_agent_count", "peer_supported")
     # one row per assignment: a roster listing the same assignment twice describes the same peers
     groups = peer_groups.select(*ASSIGNMENT, *fields).dropDuplicates(list(ASSIGNMENT))
-    # the few assignments of an agent travel as one list, so tickets that were dealt by agent for the roster stay where they are
-    lists = groups.groupBy("agent_id").agg(F.collect_list(F.struct(*ASSIGNMENT[1:], *fields)).alias("__groups"))
-    nobody = lists.filter("agent_id is null").select(F.col("__groups").alias("__nobody"))
-    named = lists.filter("agent_id is not null").select(F.col("agent_id").alias("__agent"), "__groups")
-    joined = tickets.join(named, tickets["agent_id"] == F.col("__agent"), "left")
-    joined = joined.join(nobody, tickets["agent_id"].isNull(), "left")  # one row or none
+    packed = groups.select(F.col("agent_id").alias("__agent"), F.struct(*ASSIGNMENT[1:], *fields).alias("__named"))
+    nobody = packed.filter("__agent is null").agg(F.collect_list("__named").alias("__nobody")).filter("size(__nobody) > 0")
+    matched = F.col("agent_assignment_flag") == "matched"
 
     def same(group: Column) -> Column:
         found = F.lit(True)
         for k in ASSIGNMENT[1:]:
-            found = found & group[k].eqNullSafe(tickets[k])
+            # not <=>, which would be a join key: tickets that were dealt by agent for the roster stay where they are
+            found = found & F.coalesce(tickets[k] == group[k], tickets[k].isNull() & group[k].isNull())
         return found
 
-    own = F.when(F.col("agent_assignment_flag") == "matched", F.coalesce("__groups", "__nobody"))
-    joined = joined.withColumn("__own", own).withColumn("__group", F.get(F.filter("__own", same), F.lit(0)))
+    own = (tickets["agent_id"] == F.col("__agent")) & matched & same(F.col("__named"))
+    joined = tickets.join(packed.filter("__agent is not null"), own, "left")
+    joined = joined.join(nobody, tickets["agent_id"].isNull(), "left")  # one row or none
+    unnamed = F.when(matched, F.get(F.filter("__nobody", same), F.lit(0)))
+    joined = joined.withColumn("__group", F.coalesce("__named", unnamed))
     joined = joined.withColumns({f"__g_{f}": F.col("__group")[f] for f in fields})
     return joined.select(
         *[tickets[c] for c in tickets.columns],

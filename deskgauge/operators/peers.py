@@ -99,29 +99,19 @@ def _present(name: str) -> Column:
 
 
 def _fine_cells(rows: DataFrame, outcomes: Sequence[Outcome]) -> DataFrame:
-    """One row per assignment x mix x month with count, sum and sum of squares of each outcome about its centre.
-
-    Within a cell the variance is accumulated stably; across cells only shifted means are squared.
-    """
+    """One row per assignment x mix x month with count, sum and sum of squares of each outcome about its centre."""
     keys = [*ASSIGNMENT, *_PEER_FIELDS, *_MIX.values()]
-    value = {o.name: F.when(F.col(o.eligible), F.col(o.value).cast("double")) for o in outcomes}
-    fine = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("tickets"),
-        *[F.count(v).alias(f"n_{k}") for k, v in value.items()],
-        *[F.avg(v).alias(f"mean_{k}") for k, v in value.items()],
-        *[F.var_pop(v).alias(f"var_{k}") for k, v in value.items()],
-    )
-    columns = {}
+    sums = [F.count(F.lit(1)).alias("tickets")]
     for o in outcomes:
-        n, var = F.col(f"n_{o.name}"), F.coalesce(f"var_{o.name}", F.lit(0.0))
-        shift = F.coalesce(F.col(f"mean_{o.name}") - F.lit(o.centre), F.lit(0.0))
-        columns[f"s_{o.name}"] = n * shift
-        columns[f"q_{o.name}"] = n * (var + shift * shift)
-    return fine.withColumns(columns).drop(*[f"{p}_{o.name}" for o in outcomes for p in ("mean", "var")])
+        value = F.when(F.col(o.eligible), F.col(o.value).cast("double"))
+        shift = value - F.lit(o.centre)
+        sums += [F.count(value).alias(f"n_{o.name}"), *[F.coalesce(F.sum(x), F.lit(0.0)).alias(f"{p}_{o.name}") for p, x in (("s", shift), ("q", shift * shift))]]
+    return rows.groupBy(*keys).agg(*sums)
 
 
-def _cell_lists(fine: DataFrame, outcomes: Sequence[Outcome]) -> DataFrame:
+def cell_lists(rows: DataFrame, outcomes: Sequence[Outcome] = OUTCOMES) -> DataFrame:
     """One row per assignment with the list of its fine cells, which a part holds at once anyway."""
+    fine = _fine_cells(rows, outcomes)
     mix = {x: F.nullif(F.col(x), F.lit("")) for x in ("reporting_quarter", "reporting_month")}
     mix |= {x: _present(x) for x in ("channel", "priority", "product_family")}
     sums = [f"{p}_{o.name}" for o in outcomes for p in ("n", "s", "q")]
@@ -129,6 +119,16 @@ def _cell_lists(fine: DataFrame, outcomes: Sequence[Outcome]) -> DataFrame:
     return fine.groupBy(*ASSIGNMENT, *_PEER_FIELDS).agg(F.collect_list(cell).alias("cells"))
 
 
+def cell_totals(lists: DataFrame, keys: Sequence[str], outcomes: Sequence[Outcome] = OUTCOMES) -> DataFrame:
+    """Per key the tickets of :func:`cell_lists`, and count and sum of each outcome (not about its centre)."""
+    cells = lists.select(*keys, F.explode("cells").alias("c"))
+    sums = [F.sum("c.tickets").alias("tickets")]
+    for o in outcomes:
+        n = F.col(f"c.n_{o.name}")
+        sums += [F.sum(n).alias(f"n_{o.name}"), F.sum(F.col(f"c.s_{o.name}") + n * F.lit(o.centre)).alias(f"sum_{o.name}")]
+    return cells.groupBy(*keys).agg(*sums)
+
+
 def _parts(lists: DataFrame, groups: DataFrame) -> DataFrame:
     """The cell lists of each pool in use that an assignment belongs to or is compared with, with the part they fall into.
 
@@ -280,9 +280,10 @@ def _slice_sums(outcomes: Sequence[Outcome], spec: PeerSpec, keys: Sequence[str]
             at = np.concatenate([np.arange(rows), rows + there])
             code, size = _combined(*[(mix[x][0][at], mix[x][1]) for x in ("pool", *parts)])
             mine, pool_cell = code[:rows], code[rows:]
-            pair, pairs = _combined((mine, size), agent)
-            here, own = mine[focal], pair[focal]
-            known = (np.bincount(pair, member, pairs) > 0)[own]
+            # an agent's rows of a pool cell have the same peers, so these are found once
+            pair, pairs = _numbered((mine, size), agent)
+            here, own = mine[_row_of(pair, pairs)], pair[focal]
+            known = np.bincount(pair, member, pairs) > 0
             uses = [(name, level) for name, tried in _LOOKUPS.items() for level, c in tried if c == cell]
             for o in outcomes:
                 left = {}
@@ -291,20 +292,21 @@ def _slice_sums(outcomes: Sequence[Outcome], spec: PeerSpec, keys: Sequence[str]
                     total[pool_cell] = pool_values[f"{p}_{o.name}"][there]
                     left[p] = total[here]
                     if p != "a":
-                        mine_of = np.bincount(pair, own_values[f"{p}_{o.name}"] * member, pairs)[own]
+                        mine_of = np.bincount(pair, own_values[f"{p}_{o.name}"] * member, pairs)
                         left["a0"] = mine_of > 0 if p == "n" else left["a0"]
                         left[p] = left[p] - mine_of
                 n, agents = left["n"], left["a"] - left["a0"]
                 mean = left["s"] / np.maximum(n, 1)
                 spread = np.maximum(left["q"] - n * mean * mean, 0.0)
                 error = np.where(n > 1, spread / np.maximum(n - 1, 1), 0.0) / np.maximum(n, 1)
-                enough = known & (n >= spec.min_cell_observations) & (agents >= spec.min_cell_agents)
+                enough = (known & (n >= spec.min_cell_observations) & (agents >= spec.min_cell_agents))[own]
+                mean, error = mean[own], error[own]
                 for name, level in uses:
                     first = enough & (chosen[name, o.name][0] == 0)
                     for held, value in zip(chosen[name, o.name], (level, mean, error), strict=True):
                         np.copyto(held, value, where=first, casting="unsafe")
                     if level == len(STRATA):
-                        whole[name, o.name] = np.where(known, n, 0), np.where(known, agents, 0)
+                        whole[name, o.name] = np.where(known, n, 0)[own], np.where(known, agents, 0)[own]
         asg = _of_cells(_numbered(*[_dense(_column(part, k)) for k in keys]), owner[focal])
         tickets = _column(cells, "tickets").to_numpy()[focal]
         tables = []
@@ -362,7 +364,7 @@ def adjusted_agent_metrics(
     the lists and reads them back: without it adaptive execution may plan their two readers differently, and facts are then
     read twice.
     """
-    lists = _cell_lists(_fine_cells(rows, outcomes), outcomes)
+    lists = cell_lists(rows, outcomes)
     lists = store(lists) if store else lists
     # both readers take all columns, so they share one shuffle
     parts = _parts(lists, lists if peer_groups is None else peer_groups)

@@ -181,6 +181,14 @@ def work_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     # one day stands for one minute, which keeps sums of squares exact on both sides of the checks
     minutes = F.datediff(c("l_shipdate"), c("o_orderdate")).cast("double")
     target = F.create_map(*[F.lit(x) for k, d in LATE_TARGET_DAYS.items() for x in (k, d)])
+    # what depends on the order alone is derived once an order
+    orders = orders.withColumns(
+        {
+            "reporting_month": F.date_format("o_orderdate", "yyyy-MM"),
+            "reporting_quarter": F.concat_ws("-Q", F.year("o_orderdate"), F.quarter("o_orderdate")),
+            "target": F.element_at(target, c("o_orderpriority")),
+        }
+    )
     base = (
         line.join(orders, line.l_orderkey == orders.o_orderkey)
         .join(part, c("l_partkey") == c("p_partkey"), "left")
@@ -194,11 +202,11 @@ def work_items(spark: SparkSession, sf_dir: str) -> DataFrame:
             c("o_orderpriority").alias("priority"),
             c("p_type").alias("category"),
             c("p_brand").alias("product_family"),
-            F.date_format("o_orderdate", "yyyy-MM").alias("reporting_month"),
-            F.concat_ws("-Q", F.year("o_orderdate"), F.quarter("o_orderdate")).alias("reporting_quarter"),
+            "reporting_month",
+            "reporting_quarter",
             (c("o_orderstatus") != "P").alias("attendance_flag"),
             minutes.alias("minutes"),
-            (minutes > F.element_at(target, c("o_orderpriority"))).alias("late"),
+            (minutes > c("target")).alias("late"),
             (F.lit(1) + (c("l_quantity").cast("int") % 5)).alias("score"),
             (c("l_linestatus") == "F").alias("scored"),
         )

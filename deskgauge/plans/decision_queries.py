@@ -6,13 +6,13 @@ from dataclasses import asdict, replace
 
 from pyspark.sql import functions as F
 
-from deskgauge.operators import decide, economics, link, metrics, robust
+from deskgauge.operators import decide, economics, link, metrics, peers, robust
 from deskgauge.params import DECISION_SCENARIOS, OUTCOMES, SENSITIVITY_SCENARIOS, DecisionConfig
 from deskgauge.plans.adapters import order_tickets, product_dimension, table, work_items
 from deskgauge.plans.catalog import out, query, scratch, staged, with_sql
 from deskgauge.plans.metric_queries import METRICS_SQL, event_metrics
 from deskgauge.plans.money_queries import ORDER_METRICS_SQL, economics_table, enriched_table, order_metrics
-from deskgauge.plans.peer_queries import ADJUSTED_SQL, COMPARISON_SQL, adjusted_table, comparison, grouped_items
+from deskgauge.plans.peer_queries import ADJUSTED_SQL, COMPARISON_SQL, adjusted_table, comparison, grouped_items, peer_cells
 
 # each supplier has two assignments here, so one assignment can cover about half of its items only
 CONFIG = DecisionConfig(minimum_roster_coverage=0.3, medium_priority_score=3.0, high_priority_score=12.0)
@@ -143,17 +143,16 @@ DECISIONS_SQL = decisions_sql({"default": {}})
 
 
 def agent_totals(spark, sf):
-    """Agent means and ticket counts of all work items."""
-    return (
-        work_items(spark, sf)
-        .groupBy("agent_id")
-        .agg(
-            F.count(F.lit(1)).alias("ticket_count"),
-            F.avg(F.when(F.col("valid_for_csat"), F.col("csat_score_numeric"))).alias("mean_csat"),
-            F.avg("handle_time_minutes").alias("handle_time_mean"),
-            F.avg(F.when(F.col("valid_for_sla"), F.col("sla_breach_flag").cast("int"))).alias("sla_breach_rate"),
-            (F.count_if("sla_breach_flag") * 350.0).alias("operational_cost_exposure_inr"),
-        )
+    """Agent means and ticket counts of all work items, added up from the cells that the peer adjustment stores."""
+    n, total = ({o.name: F.col(f"{p}_{o.name}") for o in OUTCOMES} for p in ("n", "sum"))
+    mean = {k: F.when(n[k] > 0, total[k] / n[k]) for k in n}
+    return peers.cell_totals(peer_cells(spark, sf), ["agent_id"]).select(
+        "agent_id",
+        F.col("tickets").alias("ticket_count"),
+        mean["csat"].alias("mean_csat"),
+        mean["handle_time"].alias("handle_time_mean"),
+        mean["sla"].alias("sla_breach_rate"),
+        (total["sla"] * 350.0).alias("operational_cost_exposure_inr"),
     )
 
 

@@ -170,9 +170,14 @@ def grouped_items(spark, sf):
     return link.attach_peer_groups(work_items(spark, sf), peers.build_peer_groups(roster))
 
 
+def peer_cells(spark, sf):
+    """The cells of all work items as a written stage, one list per assignment."""
+    return staged(spark, sf, "peer_cells", lambda spark, sf: peers.cell_lists(grouped_items(spark, sf)))
+
+
 def adjusted(spark, sf):
     groups = peer_groups_table(spark, sf)
-    store = lambda fine: staged(spark, sf, "peer_cells", lambda *_: fine)
+    store = lambda lists: staged(spark, sf, "peer_cells", lambda *_: lists)
     return peers.adjusted_agent_metrics(grouped_items(spark, sf), peer_groups=groups, store=store)
 
 

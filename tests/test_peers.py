@@ -139,3 +139,34 @@ def test_wide_projections_are_left_to_compiled_code(spark):
     configure(spark)
     # HotSpot leaves methods above 8,000 bytes interpreted; below Spark's own limit it would still run them
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_totals_are_added_up_from_the_cells(spark):
+    rows = _tickets()
+    lists = peers.cell_lists(spark.createDataFrame([tuple(r.values()) for r in rows], SCHEMA))
+    got = {r.agent_id: (r.tickets, r.n_csat, r.sum_csat, r.n_handle_time, r.sum_handle_time, r.n_sla, r.sum_sla) for r in peers.cell_totals(lists, ["agent_id"]).collect()}
+    want = {}
+    for agent in {r["agent_id"] for r in rows}:
+        own = [r for r in rows if r["agent_id"] == agent]
+        scores, minutes = ([r[v] for r in own if r[v] is not None] for v in ("csat_score_numeric", "handle_time_minutes"))
+        want[agent] = len(own), len(scores), sum(scores), len(minutes), sum(minutes), len(own), sum(r["sla_breach_flag"] for r in own)
+    assert got == want
+
+
+def test_agent_totals_do_not_read_the_facts_again(spark):
+    from deskgauge.plans.decision_queries import agent_totals
+
+    plan = agent_totals(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and "l_orderkey" not in plan and "Join" not in plan
+
+
+def test_a_ticket_meets_its_assignment_in_the_join(spark):
+    """Of the assignments of its agent a ticket takes the one that equals its own, missing values included."""
+    shape = "agent_id string, team string, tier string, site string, shift string, from_date date, to_date date"
+    groups = peers.build_peer_groups(spark.createDataFrame([("A1", t, "T", None, "d", None, None) for t in ("t", None, "u")], shape))
+    named = ", ".join(f"{k} {'date' if k.endswith('date') else 'string'}" for k in ASSIGNMENT)
+    rows = [("A1", t, "T", None, "d", None, None, "matched") for t in ("t", None, "u", "w")]
+    found = link.attach_peer_groups(spark.createDataFrame(rows, f"{named}, agent_assignment_flag string"), groups)
+    assert {r.agent_team: r.peer_fallback_level for r in found.collect()} == dict.fromkeys(("t", None, "u"), "insufficient_peers") | {"w": "unmatched_context"}
+    joined = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "__groups" not in joined
