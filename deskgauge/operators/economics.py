@@ -51,20 +51,32 @@ def is_replacement(flag: Column) -> Column:
     return F.upper(F.trim(F.coalesce(flag, F.lit("")))) == "Y"
 
 
-def ticket_economics(
-    metrics: DataFrame, products: DataFrame, policy: ServicePolicy = ServicePolicy(), strict: bool = False
-) -> DataFrame:
-    """Exposures per ticket. Products are joined only where a replacement was issued.
+PRODUCT_FIELDS = ("replacement_product_family", "replacement_unit_cost_inr")
 
-    Unsupported channels and negative amounts are flagged; ``strict`` raises on the first one instead.
-    """
+
+def with_replacement_product(tickets: DataFrame, products: DataFrame) -> DataFrame:
+    """Family and unit cost of the replaced product, null where no replacement was issued. It needs raw tickets only, so it may
+    come before the metrics, when rows are narrow."""
     lookup = products.select(
         F.col("sku").alias("__sku"),
         F.col("family").alias("__family"),
         F.col("unit_cost_inr").cast(MONEY).alias("__unit_cost"),
     ).dropDuplicates(["__sku"])
     replaced = is_replacement(F.col("replacement_issued"))
-    rows = metrics.join(lookup, replaced & (F.col("product_sku") == F.col("__sku")), "left")
+    rows = tickets.join(lookup, replaced & (F.col("product_sku") == F.col("__sku")), "left")
+    return rows.select(*[tickets[f"`{c}`"] for c in tickets.columns], *[F.col(a).alias(b) for a, b in zip(("__family", "__unit_cost"), PRODUCT_FIELDS, strict=True)])
+
+
+def ticket_economics(
+    metrics: DataFrame, products: DataFrame, policy: ServicePolicy = ServicePolicy(), strict: bool = False
+) -> DataFrame:
+    """Exposures per ticket. Products are joined only where a replacement was issued, and not again if the rows have them
+    (``with_replacement_product``).
+
+    Unsupported channels and negative amounts are flagged; ``strict`` raises on the first one instead.
+    """
+    replaced = is_replacement(F.col("replacement_issued"))
+    rows = metrics if set(PRODUCT_FIELDS) <= set(metrics.columns) else with_replacement_product(metrics, products)
     contact = contact_cost(F.col("channel"), policy)
     refund = F.coalesce(F.col("refund_amount_inr").cast(MONEY), money(0))
     transfers = F.coalesce(F.col("transfers_numeric"), F.lit(0))
@@ -73,19 +85,19 @@ def ticket_economics(
         message = F.concat(F.lit("unsupported channel or negative amount on ticket "), F.col("ticket_id").cast("string"))
         contact = F.when(bad, F.raise_error(message).cast(MONEY)).otherwise(contact)
     breached = F.coalesce("sla_breach_flag", F.lit(False))
-    replacement = F.when(replaced, money(F.col("__unit_cost") + money(policy.logistics_cost))).otherwise(money(0))
+    replacement = F.when(replaced, money(F.col("replacement_unit_cost_inr") + money(policy.logistics_cost))).otherwise(money(0))
     sla, transfer = F.when(breached, money(policy.sla_credit)).otherwise(money(0)), money(transfers * money(policy.transfer_cost))
     operational = money(F.coalesce(contact, money(0)) + sla + transfer)
     known = F.coalesce(replacement, money(0))
     anomaly = replaced & (refund > 0)
     return rows.select(
-        *[metrics[c] for c in metrics.columns if c not in ("refund_amount_inr", "sla_breach_flag", "product_family")],
-        F.col("__family").alias("replacement_product_family"),
+        *[metrics[c] for c in metrics.columns if c not in ("refund_amount_inr", "sla_breach_flag", "product_family", *PRODUCT_FIELDS)],
+        "replacement_product_family",
         breached.alias("sla_breach_flag"),
         F.coalesce("valid_for_sla", F.lit(False)).alias("sla_eligible_flag"),
         transfers.alias("transfers_count"),
         replaced.alias("replacement_issued_flag"),
-        F.when(replaced, F.col("__unit_cost")).alias("replacement_unit_cost_inr"),
+        "replacement_unit_cost_inr",
         (replaced & replacement.isNull()).alias("replacement_cost_missing_flag"),
         bad.alias("economics_input_error_flag"),
         anomaly.alias("refund_replacement_anomaly_flag"),
@@ -104,8 +116,10 @@ def ticket_economics(
 
 
 def with_repeat_cost(tickets: DataFrame, policy: ServicePolicy = ServicePolicy()) -> DataFrame:
-    """Repeat-contact match and its cost: the contact cost of the later ticket, a subset of contact cost."""
-    matched = detect_repeat_contacts(tickets, policy.repeat_window_days)
+    """Repeat-contact match and its cost: the contact cost of the later ticket, a subset of contact cost. Rows that were matched
+    before their metrics were derived keep their match."""
+    known = "repeat_contact_candidate_flag" in tickets.columns
+    matched = tickets if known else detect_repeat_contacts(tickets, policy.repeat_window_days)
     cost = F.when(F.col("repeat_contact_candidate_flag"), F.col("contact_cost_inr")).otherwise(money(0))
     return matched.withColumn("repeat_contact_cost_inr", cost)
 

@@ -245,8 +245,28 @@ def _contact_keys(tickets: DataFrame, id_col: str) -> list[Column]:
     ]
 
 
-def _repeat_matches(tickets: DataFrame, window_days: int, block_hours: int, id_col: str) -> DataFrame:
-    """id, k1, k2, k3, created and the four result columns, one row per ticket.
+def _contacts(tickets: DataFrame, id_col: str) -> DataFrame:
+    return tickets.select(*_contact_keys(tickets, id_col), F.col("resolved_at").cast("timestamp").alias("resolved"))
+
+
+def _in_company(contacts: DataFrame) -> DataFrame:
+    """The contacts whose key another one shares: no other has a match. Equal hashes of unequal keys only let more rows pass."""
+    keyed = contacts.where("k1 is not null and k2 is not null").withColumn("__key", F.xxhash64("k1", "k2", "k3"))
+    several = keyed.groupBy(F.col("__key").alias("__of")).agg(F.count(F.lit(1)).alias("__rows")).where("__rows > 1")
+    return keyed.join(several, F.col("__key") == F.col("__of"), "left_semi").drop("__key")
+
+
+def _repeat_reason(hit: Column, k1: Column, k2: Column, created: Column, window_days: int) -> Column:
+    return (
+        F.when(created.isNull() | k1.isNull(), "missing_created_at_or_customer_id")
+        .when(k2.isNull(), "missing_order_and_product_sku")
+        .when(hit, f"same_customer_issue_proxy_within_{window_days}_days")
+        .otherwise("no_qualifying_prior_contact")
+    )
+
+
+def _repeat_matches(base: DataFrame, window_days: int, block_hours: int) -> DataFrame:
+    """id, k1, k2, k3, created and the four result columns, one row per row of ``base`` (see ``_contacts``).
 
     A segmented prefix scan: each ticket becomes its creation and its resolution by one explode, and these few columns are
     sorted by (key, time block). The last row of each block holds the block's last two resolutions; only these rows meet along a
@@ -256,7 +276,6 @@ def _repeat_matches(tickets: DataFrame, window_days: int, block_hours: int, id_c
     """
     if window_days <= 0:
         raise ValueError(f"window_days is {window_days}, needs 1 or more")
-    base = tickets.select(*_contact_keys(tickets, id_col), F.col("resolved_at").cast("timestamp").alias("resolved"))
     keyed = F.col("k1").isNotNull() & F.col("k2").isNotNull()
     span = block_hours * 3600 * 1000000
     block = lambda ts: F.floor(F.unix_micros(ts) / F.lit(span)).cast("bigint")
@@ -290,19 +309,14 @@ def _repeat_matches(tickets: DataFrame, window_days: int, block_hours: int, id_c
     found = known.select("id", *key, "created", "kind", best.alias("best"))
     near = F.unix_micros("created") - F.unix_micros("best.at") <= F.lit(window_days * 86400 * 1000000)
     hit = (F.col("kind") == 0) & F.coalesce(near, F.lit(False))
-    reason = (
-        F.when(F.col("created").isNull() | F.col("k1").isNull(), "missing_created_at_or_customer_id")
-        .when(F.col("k2").isNull(), "missing_order_and_product_sku")
-        .when(hit, f"same_customer_issue_proxy_within_{window_days}_days")
-        .otherwise("no_qualifying_prior_contact")
-    )
+    reason = _repeat_reason(hit, F.col("k1"), F.col("k2"), F.col("created"), window_days)
     results = (hit, F.when(hit, F.col("best.id")), F.when(hit, F.col("k2")), reason)
     return found.select("id", *key, "created", *[r.alias(f"repeat_contact_{n}") for n, r in zip(REPEAT_COLUMNS, results, strict=True)])
 
 
 def repeat_contact_flags(tickets: DataFrame, window_days: int = 30, block_hours: int = 24, id_col: str = "ticket_id") -> DataFrame:
     """The result columns of ``detect_repeat_contacts`` by ticket id only, one row per ticket."""
-    found = _repeat_matches(tickets, window_days, block_hours, id_col)
+    found = _repeat_matches(_contacts(tickets, id_col), window_days, block_hours)
     return found.select(F.col("id").cast(tickets.schema[id_col].dataType).alias(id_col), *[f"repeat_contact_{n}" for n in REPEAT_COLUMNS])
 
 
@@ -311,16 +325,22 @@ def detect_repeat_contacts(
 ) -> DataFrame:
     """Latest earlier resolution of the same customer and order (or product) within ``window_days`` before creation.
 
-    Only ids, keys and times go through the scan (see ``_repeat_matches``); the other columns are joined back. A ticket is never its
-    own predecessor; rows that agree in id, key and creation have the same match.
+    Only ids, keys and times of tickets that share their key go through the scan (see ``_repeat_matches``), and only its hits are
+    joined back: what other tickets show follows from their own columns. A ticket is never its own predecessor; rows that agree in id,
+    key and creation have the same match.
     """
+    hits = _repeat_matches(_in_company(_contacts(tickets, id_col)), window_days, block_hours).where("repeat_contact_candidate_flag")
     keys = ("id", "k1", "k2", "k3", "created")
-    found = _repeat_matches(tickets, window_days, block_hours, id_col).dropDuplicates(list(keys))
-    found = found.withColumnsRenamed({k: f"__match_{k}" for k in keys})
-    asked = tickets.select("*", *[c.alias(f"__own_{k}") for k, c in zip(keys, _contact_keys(tickets, id_col), strict=True)])
-    same = [asked[f"__own_{k}"].eqNullSafe(found[f"__match_{k}"]) for k in keys]
-    out = asked.join(found, same, "left")
-    return out.select(*[asked[f"`{c}`"] for c in tickets.columns], *[f"repeat_contact_{n}" for n in REPEAT_COLUMNS])
+    hits = hits.dropDuplicates(list(keys)).withColumnsRenamed({k: f"__match_{k}" for k in keys})
+    own = dict(zip(keys, _contact_keys(tickets, id_col), strict=True))
+    same = own["id"].eqNullSafe(F.col("__match_id"))
+    for k in keys[1:]:  # never null in a hit; expressions of the tickets' own columns, which don't travel beside them
+        same = same & (own[k] == F.col(f"__match_{k}"))
+    hit = F.coalesce("repeat_contact_candidate_flag", F.lit(False))
+    reason = _repeat_reason(hit, own["k1"], own["k2"], own["created"], window_days)
+    values = (hit, F.col("repeat_contact_prior_ticket_id"), F.col("repeat_contact_match_method"), reason)
+    joined = tickets.join(hits, same, "left")
+    return joined.select(*[tickets[f"`{c}`"] for c in tickets.columns], *[v.alias(f"repeat_contact_{n}") for n, v in zip(REPEAT_COLUMNS, values, strict=True)])
 
 
 # --- overlays -----------------------------------------------------------------------------------------------------

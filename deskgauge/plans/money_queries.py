@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from deskgauge.operators import clean, economics, link, metrics, peers, products, validate
-from deskgauge.params import ASSIGNMENT
+from deskgauge.params import ASSIGNMENT, ServicePolicy
 from deskgauge.plans.adapters import (
     EVENT_TICKETS_SQL,
     ORDER_TICKETS_SQL,
@@ -246,7 +246,11 @@ def order_metrics(spark, sf):
 
 
 def order_economics(spark, sf):
-    return economics.calculate_ticket_economics(order_metrics(spark, sf), product_dimension(spark, sf))
+    """What other tables add is joined to the raw tickets, whose rows are about half as wide as those with metrics."""
+    goods = product_dimension(spark, sf)
+    tickets = link.detect_repeat_contacts(order_tickets(spark, sf), ServicePolicy().repeat_window_days)
+    tickets = economics.with_replacement_product(tickets, goods)
+    return economics.calculate_ticket_economics(metrics.ticket_metrics(tickets), goods)
 
 
 def economics_table(spark, sf):

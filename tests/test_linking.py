@@ -143,6 +143,42 @@ def test_repeat_contacts_scan_the_input_once(spark, tmp_path):
     assert final.count("FileScan parquet") == 1 and final.count("Exchange hashpartitioning") <= 3 and "Join" not in final
 
 
+def test_only_tickets_that_share_their_key_are_scanned(spark, monkeypatch):
+    """Tickets alone with their key, and those without one, have no match; they get their columns without the scan."""
+    day = lambda i: T(2025, 1, i)
+    rows = [contact(i, day(2), day(3), order=f"O{i}") for i in range(50)]
+    rows += [contact("a", day(1), day(2), order="P"), contact("b", day(4), day(5), order="P"), contact("b", day(4), day(5), order="P"), contact("c", day(4), None, customer=None), contact(None, day(6), None, order="P")]
+    seen, scan = [], link._repeat_matches
+
+    def counted(base, *rest):
+        seen.append(base.count())
+        return scan(base, *rest)
+
+    monkeypatch.setattr(link, "_repeat_matches", counted)
+    got = [tuple(r) for r in link.detect_repeat_contacts(spark.createDataFrame(rows, CONTACTS)).select("ticket_id", "repeat_contact_candidate_flag", "repeat_contact_prior_ticket_id", "repeat_contact_match_method", "repeat_contact_candidate_reason").collect()]
+    assert seen == [4] and len(got) == len(rows)
+    hit = ("customer_order_id", "same_customer_issue_proxy_within_30_days")
+    assert [r for r in got if r[1]].count(("b", True, "a", *hit)) == 2
+    assert ("c", False, None, None, "missing_created_at_or_customer_id") in got and ("7", False, None, None, "no_qualifying_prior_contact") in got
+
+
+def test_money_of_tickets_matched_before(spark):
+    """Products and repeat contacts joined to the raw tickets give the same as joined to rows with metrics, and are joined once."""
+    from decimal import Decimal
+
+    goods = spark.createDataFrame([("S", "F", Decimal("1000")), ("S", "F", Decimal("1000")), ("N", "G", None)], "sku string, family string, unit_cost_inr decimal(18,2)")
+    rows = [(str(i), T(2025, 1, i + 1), T(2025, 1, i + 1, 5), "C", "O", "SN"[i % 2], "chat", "YNy"[i % 3], None, 1, False, True) for i in range(6)]
+    raw = spark.createDataFrame([*rows, rows[2]], CONTACTS + ", channel string, replacement_issued string, refund_amount_inr decimal(18,2), transfers_numeric int, sla_breach_flag boolean, valid_for_sla boolean")
+    late = economics.calculate_ticket_economics(raw, goods)
+    first = economics.with_replacement_product(link.detect_repeat_contacts(raw), goods)
+    early = economics.calculate_ticket_economics(first, goods)
+    shown = sorted(late.columns)
+    assert sorted(early.columns) == shown
+    assert sorted(map(str, early.select(shown).collect())) == sorted(map(str, late.select(shown).collect()))
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins(early) == joins(first)
+
+
 def test_peer_group_fallbacks(spark):
     table = roster(spark, *[(f"A{i}", "x", "T1", D(2025, 1, 1), None) for i in range(3)], ("B0", "y", "T1", D(2025, 1, 1), None), ("C0", "x", "T2", D(2025, 1, 1), None), ("A0", "x", "T1", D(2026, 1, 1), None))
     got = {(r["agent_id"], r["agent_from_date"]): (r["comparison_group"], r["peer_fallback_level"], r["peer_agent_count"]) for r in peers.build_peer_groups(table).collect()}
