@@ -672,6 +672,17 @@ _RESAMPLED = f"""SELECT *, adverse_signal_count >= 2 AND peer_agent_count >= 2 A
     PARTITION BY replicate, comparison_group ORDER BY {_SCORE} DESC, agent_id) AS rank_by_adverse_signal FROM r"""
 
 
+_RESAMPLE_COLUMNS = (
+    "ticket_id customer_id agent_id agent_team agent_tier agent_assignment_flag resolved_at".split()
+    + [c for o in OUTCOMES for c in (o.eligible, o.value)]
+)
+
+
+def resampled_items(spark, sf):
+    """What the bootstrap reads of the work items, which it reads three times."""
+    return staged(spark, sf, "resampled_items", lambda spark, sf: work_items(spark, sf).select(*_RESAMPLE_COLUMNS))
+
+
 @query(
     "rob4_bootstrap_resamples",
     _robust_sql(
@@ -683,7 +694,7 @@ _RESAMPLED = f"""SELECT *, adverse_signal_count >= 2 AND peer_agent_count >= 2 A
     ),
 )
 def _resamples(spark, sf):
-    return robust.bootstrap_resamples(work_items(spark, sf), REPLICATES)
+    return robust.bootstrap_resamples(resampled_items(spark, sf), REPLICATES)
 
 
 _INTERVALS = {
@@ -716,7 +727,7 @@ def _interval_sql(o, bad: str) -> str:
     ),
 )
 def _bootstrap(spark, sf):
-    return robust.bootstrap_summary(robust.bootstrap_resamples(work_items(spark, sf), REPLICATES), REPLICATES)
+    return robust.bootstrap_summary(robust.bootstrap_resamples(resampled_items(spark, sf), REPLICATES), REPLICATES)
 
 
 @query(

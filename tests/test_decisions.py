@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,6 +152,54 @@ def test_explanations_are_consistent(spark):
     assert robust.explanation_consistency(broken).filter("status = 'FAIL' and agent_id = 'worst'").count() == 3
 
 
+def test_draws_are_packed_and_unpacked():
+    """Also where a row was never drawn or very often, and out of the middle of a longer array."""
+    import numpy as np
+
+    from deskgauge.operators import draws
+
+    counts = np.random.default_rng(1).poisson(1, (300, 80))
+    counts[7], counts[8], counts[9, 3] = 0, 1, 70_000
+    packed = draws.pack(counts)
+    assert (draws.unpack(packed, 80) == counts).all() and (draws.unpack(packed.slice(5, 20), 80) == counts[5:25]).all()
+    assert packed.slice(100).nbytes < 24 * 1.3 * 200
+
+
+def test_weighted_sums_equal_a_plain_loop(spark):
+    """Rows travel with all their draws at once: sums by key and replicate, with keys of many rows and of few, over several batches, and
+    with null, NaN and infinite values."""
+    import collections
+    import math
+
+    from deskgauge.operators import draws
+
+    rng = random.Random(5)
+    odd = {3: float("nan"), 5: float("inf"), 9: None, 10: None}
+    rows = [(i % 40, "hot" if i % 3 else f"K{i % 200}", odd.get(i % 500, float(i % 7)), None if i % 11 else 2.0) for i in range(3000)]
+    drawn = [(rng.randrange(40), r) for r in range(1, 7) for _ in range(25)]
+    times = collections.Counter(drawn)
+    want = {}
+    for idx, key, *values in rows:
+        for r in range(1, 7):
+            if w := times[idx, r]:
+                sums = want.setdefault((key, r), [None, 0, None, 0])
+                for j, v in enumerate(values):
+                    if v is not None:
+                        sums[2 * j], sums[2 * j + 1] = (sums[2 * j] or 0.0) + w * v, sums[2 * j + 1] + w
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        times_of = draws.times_drawn(spark.createDataFrame(drawn, "idx long, replicate int"), 6)
+        located = spark.createDataFrame(rows, "idx long, agent_id string, v_a double, v_b double").join(times_of, "idx")
+        got = draws.weighted_sums(located, "agent_id", ["a", "b"], 6).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert len(got) == len(want)
+    for r in got:
+        for a, b in zip((r.s_a, r.n_a, r.s_b, r.n_b), want[r.agent_id, r.replicate], strict=True):
+            assert a == b or (math.isnan(a) and math.isnan(b))
+
+
 def test_bootstrap_does_not_depend_on_partitioning(spark):
     rows = spark.range(600).select(
         F.concat(F.lit("T"), "id").alias("ticket_id"), F.concat(F.lit("C"), F.col("id") % 50).alias("customer_id"),
