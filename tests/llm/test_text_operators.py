@@ -224,6 +224,34 @@ def test_near_copies_by_shingles(spark, monkeypatch, small):
     assert len(got) == len(rows) and len(pairs) == len({a for a, _ in pairs}) == len(set(groups))
 
 
+def test_no_pair_at_the_wanted_similarity_is_ruled_out(spark):
+    """Sets with 1 to 3,000 shingles and 0.8 of their union in common, beside sets with less; with parities of equal and different lengths."""
+    rng = np.random.default_rng(3)
+    rows, similar = [], []
+    for common in [1, 2, 4, 9, 50, 400, 420, 500, 511, 512, 513, 850, 1000, 1024, 3000] * 3:
+        fresh = rng.integers(0, 1 << 63, 2 * common, np.uint64)
+        apart = common // 4 + (0 if len(rows) < 30 else 1 + common // 8)
+        cut = common + rng.integers(0, apart + 1)
+        one, two = fresh[:cut], np.append(fresh[:common], fresh[cut : common + apart])
+        similar.append(5 * common >= 4 * (common + apart))
+        rows.append([(len(x), [int(w) for w in minhash.parities(x)]) for x in (one, two)])
+    assert sum(similar) == 30 and any(len(a[1]) != len(b[1]) for a, b in rows[:30])
+    df = spark.createDataFrame([(i, *a, *b) for i, (a, b) in enumerate(rows)], "i int, n int, bits array<bigint>, other_n int, other_bits array<bigint>")
+    fits = {r.i for r in df.where(minhash._may_be_similar(80)).collect()}
+    assert {i for i, s in enumerate(similar) if s} <= fits
+
+    def pairs(some: list) -> int:
+        columns = [[0] * 2, [7] * 2, [1, 2], [n for n, _ in some], [b for _, b in some], [[7] + [i] * 63 for i in (1, 2)], [1, 2]]
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()]
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["tab", "key", "node", "n", "bits", "keys", "root"])
+        return sum(b.num_rows for b in minhash._bucket_pairs(80, None)(iter([batch])))
+
+    assert fits == {i for i, some in enumerate(rows) if pairs(some)}
+    loose = rng.integers(0, 1 << 63, 900, np.uint64)
+    apart = [(600, [int(w) for w in minhash.parities(loose[a : a + 600])]) for a in (0, 300)]
+    assert not pairs(apart)
+
+
 def test_loosely_similar_texts_make_few_candidates(spark, monkeypatch):
     """2,000 texts that share about 0.5 to 0.7 of their shingles with each other, and none 0.8."""
     rng = random.Random(5)
