@@ -118,7 +118,8 @@ def _pair_candidates(orders: DataFrame, fields: Sequence[str]) -> DataFrame:
     )
 
 
-ORDER_FIELDS = ("order_id", "customer_id", "sku", "order_date", "channel", "qty", "order_value_inr", "lot_code")
+#: What a link hands on of an order. Customer and product are compared where the order is met and don't travel further.
+ORDER_FIELDS = ("order_id", "order_date", "channel", "qty", "order_value_inr", "lot_code")
 
 
 def _spread(key: Column, row: Column) -> Column:
@@ -127,12 +128,19 @@ def _spread(key: Column, row: Column) -> Column:
 
 
 def _with_order_candidates(tickets: DataFrame, orders: DataFrame) -> DataFrame:
-    """Adds the order with the ticket's id (``direct``), else the (customer, sku) orders. Linked tickets look for no pair."""
-    direct = orders.select(F.col("order_id").alias("__id"), F.struct(*ORDER_FIELDS).alias("direct"))
+    """Adds the order with the ticket's id (``direct``) and whether customer and product agree with it (``__agrees``), else the
+    (customer, sku) orders. Linked tickets look for no pair."""
+    direct = orders.select(F.col("order_id").alias("__id"), F.col("customer_id").alias("__customer"), F.col("sku").alias("__sku"), F.struct(*ORDER_FIELDS).alias("direct"))
     pairs = _pair_candidates(orders, ORDER_FIELDS).withColumnsRenamed({"customer_id": "__c", "sku": "__s"})
     row, customer, sku = tickets["ticket_id"], tickets["customer_id"], tickets["product_sku"]
     looks = F.col("direct").isNull() & customer.isNotNull() & sku.isNotNull()
+    agrees = (
+        (customer.isNull() | customer.eqNullSafe(F.col("__customer")))
+        & (sku.isNull() | sku.eqNullSafe(F.col("__sku")))
+        & (customer.isNotNull() | sku.isNotNull())
+    )
     joined = tickets.join(direct, _spread(tickets["order_id"], row) == F.col("__id"), "left")
+    joined = joined.select(*[tickets[c] for c in tickets.columns], "direct", agrees.alias("__agrees"))
     return joined.join(pairs, (_spread(F.when(looks, customer), row) == F.col("__c")) & (F.coalesce(sku, F.lit("")) == F.col("__s")), "left")
 
 
@@ -155,14 +163,8 @@ def link_orders_basic(tickets: DataFrame, orders: DataFrame) -> DataFrame:
 
 def link_orders_checked(tickets: DataFrame, orders: DataFrame) -> DataFrame:
     """Order link that refuses conflicting evidence; one row per ticket with status and method."""
-    customer, sku = tickets["customer_id"], tickets["product_sku"]
     joined = _with_order_candidates(tickets, orders)
-    found = F.col("direct").isNotNull()
-    agrees = (
-        (customer.isNull() | customer.eqNullSafe(F.col("direct.customer_id")))
-        & (sku.isNull() | sku.eqNullSafe(F.col("direct.sku")))
-        & (customer.isNotNull() | sku.isNotNull())
-    )
+    found, agrees = F.col("direct").isNotNull(), F.col("__agrees")
     single = F.coalesce(F.col("pair_orders") == 1, F.lit(False))
     several = F.coalesce(F.col("pair_orders") > 1, F.lit(False))
     method = (

@@ -50,6 +50,19 @@ def test_checked_order_link(spark):
     assert basic["6"] == "matched" and basic["3"] == "missing_order_id" and basic["5"] == "unmatched_order"
 
 
+def test_linked_orders_travel_without_what_was_compared(spark):
+    """Customer and product of an order are met at the first join; of the order only what the link hands on goes to the second."""
+    orders = spark.createDataFrame([("O1", "C1", "S1", D(2025, 1, 1), "web", 1, None, "L"), ("O2", "C1", "S2", None, "web", 1, None, "L"), ("O2", "C1", "S2", D(2025, 1, 1), "app", 1, None, "L")], ORDERS)
+    tickets = spark.createDataFrame([("1", "O1", "C1", "S1", "x"), ("2", None, "C1", "S1", "y"), ("3", None, "C1", "S2", None), ("4", "O2", None, "S2", None)], "ticket_id string, order_id string, customer_id string, product_sku string, agrees string")
+    joined = link._with_order_candidates(tickets, orders)
+    assert not {"customer_id", "sku"} & {*joined.schema["direct"].dataType.names, *joined.schema["pair"].dataType.names}
+    got = sorted((r["ticket_id"], r["order_match_method"], r["order_channel"] or "", r["agrees"]) for r in link.link_orders_checked(tickets, orders).collect())
+    assert got == [
+        ("1", "direct_order_id", "web", "x"), ("2", "unique_customer_sku", "web", "y"), ("3", "multiple_customer_sku_orders", "", None),
+        ("4", "direct_order_id", "app", None), ("4", "direct_order_id", "web", None),
+    ]
+
+
 def contact(i, created, resolved, customer="C", order="O", sku="S"):
     return (str(i), created, resolved, customer, order, sku)
 
